@@ -106,7 +106,17 @@ def frequent_pairs(reps: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         keep = counts > 1
         yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(counts[keep])], names=["pair", "n"])
 
-    top = reps.select("signature").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") > LIST_LIMIT // 2).orderBy(F.desc("n"), "pair").limit(FREQUENT_LIMIT).toPandas()
+    counted = reps.select("signature").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") > LIST_LIMIT // 2)
+    counted = written(counted, "frequent")
+    # the least power of two above which there are few enough pairs
+    sizes = dict(counted.groupBy(F.floor(F.log2("n")).alias("size")).count().collect())
+    least, held = 0, 0
+    for size in sorted(sizes, reverse=True):
+        held += sizes[size]
+        if held > FREQUENT_LIMIT:
+            least = size + 1
+            break
+    top = counted.where(F.col("n") >= 1 << least).toPandas()
     pairs = top["pair"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(pairs)
     return pairs[order], top["n"].to_numpy(np.int64)[order]

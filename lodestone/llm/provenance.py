@@ -165,7 +165,12 @@ def machine_made(chunks: DataFrame, train_files: int = TRAIN_FILES, vote: float
     features = VectorAssembler(inputCols=RATIOS, outputCol="features", handleInvalid="keep")
     if len(counts) == 2:
         # the same number of either kind at most, chosen by a hash of the path
-        part = [labelled.where(F.col("label") == v).orderBy(F.xxhash64("repo", "file_path")).limit(train_files // 2) for v in (0.0, 1.0)]
+        def chosen(v: float) -> DataFrame:
+            hashed = F.xxhash64("repo", "file_path")
+            share = min(1.0, train_files / counts[v])  # thins the rows to about twice the number before they are gathered
+            return labelled.where((F.col("label") == v) & (F.pmod(hashed, F.lit(1 << 20)) < max(1, int(share * (1 << 20))))).orderBy(hashed).limit(train_files // 2)
+
+        part = [chosen(0.0), chosen(1.0)]
         n = {v: min(c, train_files // 2) for v, c in counts.items()}
         train = part[0].unionByName(part[1]).withColumn("weight", F.when(F.col("label") == 1.0, sum(n.values()) / n[1.0]).otherwise(sum(n.values()) / n[0.0]))
         train = written(train.coalesce(1), "labelled")
