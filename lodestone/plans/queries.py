@@ -1,9 +1,754 @@
-"""The core queries and their SQL."""
+"""The core queries, each over its whole tables, and the SQL they are checked against.
 
+Queries named ``ext_*`` are additions over the star schema and the event table.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+import json
+import os
+import tempfile
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestone.functions import paths, text
+from lodestone.functions.wordpiece import wordpiece_count
+from lodestone.operators import chunking, dense, fusion, incremental, locate, navigate, ranking, snippet, sparse
+from lodestone.plans.corpus import corpus, documents_as_chunks, float_vectors, int8_vectors, table
+from lodestone.plans.index import Index
+from lodestone.sources import bundle, scan
+from lodestone.sources.embedders import HashEmbedder
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+QUESTION = "how does the scheduler flush the pending queue"
+SYMBOL = "flushPlannerBackend"
+KEYWORDS = "parser token buffer registry"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- SQL building blocks (DuckDB) ---------------------------------------------------------------------------
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+CORPUS = "corpus AS (SELECT DISTINCT chunk_id, concat_ws('/', repo, file_path) AS file_path, start_line, end_line, language, content FROM chunks)"
+
+
+def sql_parts(t: str) -> str:
+    """identifier_parts of an expression: the lookahead of the case runs becomes a cut beforehand."""
+    by_case = f"list_transform(regexp_extract_all(regexp_replace({t}, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda p: lower(p))"
+    by_score = f"list_filter(string_split(lower({t}), '_'), lambda p: p <> '')"
+    parts = f"(CASE WHEN contains({t}, '_') THEN {by_score} ELSE {by_case} END)"
+    return f"(CASE WHEN len({parts}) >= 2 THEN list_concat([lower({t})], {parts}) ELSE [lower({t})] END)"
+
+
+def sql_tokens(t: str) -> str:
+    return f"flatten(list_transform(regexp_extract_all(coalesce({t}, ''), '[a-zA-Z_][a-zA-Z0-9_]*'), lambda tok: {sql_parts('tok')}))"
+
+
+def sql_stem(p: str) -> str:
+    return f"regexp_replace(regexp_extract({p}, '([^/]*)$', 1), '\\.[^.]*$', '')"
+
+
+def sql_enriched(content: str = "content", path: str = "file_path") -> str:
+    dirs = f"list_filter(string_split({path}, '/')[:-2], lambda d: d NOT IN ('', '.', '..'))"
+    last = f"array_to_string({dirs}[greatest(len({dirs}) - 2, 1):], ' ')"
+    return f"concat_ws(' ', coalesce({content}, ''), {sql_stem(path)}, {sql_stem(path)}, {last})"
+
+
+def sql_bm25(query_: str, body: str, chunks: str = "corpus", where: str = "TRUE") -> str:
+    """CTEs up to ``scored(chunk_id, file_path, score)``."""
+    terms = ", ".join(q(t) for t in sparse.query_terms(query_))
+    return f"""toks AS (SELECT chunk_id, language, file_path, {sql_tokens(body)} AS t FROM {chunks}),
+        stats AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS al FROM toks),
+        post AS (SELECT chunk_id, language, file_path, len(t) AS dl, unnest([{terms}]) AS term, t FROM toks),
+        tf AS (SELECT chunk_id, language, file_path, dl, term, len(list_filter(t, lambda x: x = term))::DOUBLE AS tf FROM post),
+        df AS (SELECT term, count(*)::DOUBLE AS df FROM tf WHERE tf > 0 GROUP BY term),
+        scored AS (SELECT chunk_id, file_path, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / al))) AS score
+                   FROM tf JOIN df USING (term), stats WHERE tf > 0 AND {where} GROUP BY chunk_id, file_path)"""
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    for c in columns:
+        df = df.withColumn(c, F.round(c, 6))
+    return df
+
+
+# --- text functions -------------------------------------------------------------------------------------------
+IDENTIFIERS = ["foo", "foo_bar", "FooBar", "XMLParser", "getHTTPResponse", "HandlerStack", "my_func", "_x", "HTTP2Server", "__init__", "a1B2", "snake_CaseMix", "ABc", "x"]
+
+
+@query(f"SELECT x AS identifier, array_to_string({sql_parts('x')}, ' ') AS parts FROM (SELECT unnest([{', '.join(map(q, IDENTIFIERS))}]) AS x)")
+def split_identifier(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([(x,) for x in IDENTIFIERS], "identifier string")
+    return rows.select("identifier", F.array_join(text.identifier_parts(F.col("identifier")), " ").alias("parts"))
+
+
+@query(f"WITH {CORPUS} SELECT chunk_id, len(t)::INT AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT chunk_id, {sql_tokens('content')} AS t FROM corpus)")
+def tokenize_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return sparse.chunk_tokens(corpus(spark, d), enrich=False).select("chunk_id", F.size("tokens").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
+
+
+@query(f"SELECT doc_id, len(t)::INT AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {sql_tokens('text')} AS t FROM documents)")
+def tokenize_docs(spark: SparkSession, d: str) -> DataFrame:
+    t = text.tokens(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", t.alias("t")).select("doc_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
+
+
+@query(f"WITH {CORPUS} SELECT chunk_id, md5({sql_enriched()}) AS enriched_md5 FROM corpus")
+def enriched_text(spark: SparkSession, d: str) -> DataFrame:
+    return corpus(spark, d).select("chunk_id", F.md5(sparse.enriched(F.col("content"), F.col("file_path"))).alias("enriched_md5"))
+
+
+# --- keyword retrieval ----------------------------------------------------------------------------------------
+_POSTINGS = f"WITH {CORPUS}, p AS (SELECT chunk_id, unnest({sql_tokens(sql_enriched())}) AS term FROM corpus)"
+
+
+@query(f"{_POSTINGS} SELECT term, chunk_id, count(*)::INT AS tf FROM p GROUP BY term, chunk_id")
+def postings(spark: SparkSession, d: str) -> DataFrame:
+    return sparse.postings(sparse.chunk_tokens(corpus(spark, d)))
+
+
+@query(f"{_POSTINGS} SELECT term, count(DISTINCT chunk_id) AS df FROM p GROUP BY term")
+def doc_freq(spark: SparkSession, d: str) -> DataFrame:
+    return sparse.document_frequency(sparse.postings(sparse.chunk_tokens(corpus(spark, d))))
+
+
+@query(f"WITH {CORPUS}, t AS (SELECT len({sql_tokens(sql_enriched())}) AS dl FROM corpus) SELECT count(*) AS n_chunks, round(avg(dl), 6) AS avg_len, max(dl)::INT AS max_len FROM t")
+def doc_length_stats(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(sparse.length_stats(sparse.lengths(sparse.chunk_tokens(corpus(spark, d)))), "avg_len")
+
+
+_TOP = "SELECT chunk_id, round(score, 6) AS score FROM scored ORDER BY round(score, 9) DESC, chunk_id LIMIT {k}"
+_DOCS = "docs AS (SELECT doc_id AS chunk_id, lang AS language, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/doc_' || doc_id || '.txt' AS file_path, text AS content FROM documents)"
+
+
+@query(f"WITH {_DOCS}, {sql_bm25(QUESTION, 'content', 'docs')} {_TOP.format(k=10)}")
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(sparse.top_k(sparse.scan_scores(documents_as_chunks(spark, d), QUESTION, enrich=False), 10), "score")
+
+
+@query(f"WITH {CORPUS}, {sql_bm25(KEYWORDS, sql_enriched())} {_TOP.format(k=20)}")
+def bm25_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(sparse.top_k(sparse.scan_scores(corpus(spark, d), KEYWORDS), 20), "score")
+
+
+@query(f"WITH {CORPUS}, {sql_bm25(KEYWORDS, sql_enriched())} {_TOP.format(k=20)}")
+def bm25_from_index(spark: SparkSession, d: str) -> DataFrame:
+    """The same through postings and lengths."""
+    tokens = sparse.chunk_tokens(corpus(spark, d))
+    return rounded(sparse.top_k(sparse.index_scores(sparse.postings(tokens), sparse.lengths(tokens), KEYWORDS), 20), "score")
+
+
+@query(f"WITH {CORPUS}, {sql_bm25(KEYWORDS, sql_enriched(), where=chr(10).join(['language = ' + q('go')]))} {_TOP.format(k=20)}")
+def bm25_filtered_language(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics stay global; the filter binds the result."""
+    return rounded(sparse.top_k(sparse.scan_scores(corpus(spark, d), KEYWORDS, selected=navigate.selection(["go"])), 20), "score")
+
+
+# --- literal search ---------------------------------------------------------------------------------------------
+def sql_hits(test: str, extra: str = "TRUE") -> str:
+    return f"""WITH {CORPUS}, l AS (SELECT chunk_id, file_path, start_line, string_split(content, chr(10)) AS lines FROM corpus WHERE {extra}),
+        e AS (SELECT chunk_id, file_path, start_line, lines, unnest(lines) AS text, unnest(range(len(lines))) AS i FROM l),
+        hits AS (SELECT chunk_id, file_path, (start_line + i)::INT AS line, text, lines, i::INT AS i, start_line FROM e WHERE {test}
+                 QUALIFY row_number() OVER (PARTITION BY file_path, start_line + i ORDER BY chunk_id) = 1)"""
+
+
+NEEDLE = "manifest"
+
+
+@query(sql_hits(f"contains(text, {q(NEEDLE)})") + " SELECT file_path, line, text FROM hits")
+def locate_lines(spark: SparkSession, d: str) -> DataFrame:
+    return locate.locate(corpus(spark, d), NEEDLE).select("file_path", "line", "text")
+
+
+@query(sql_hits(f"contains(text, {q(NEEDLE)})") + " SELECT count(*) AS n, count(DISTINCT file_path) AS files, false AS truncated FROM hits")
+def locate_count(spark: SparkSession, d: str) -> DataFrame:
+    return locate.summary(locate.locate(corpus(spark, d), NEEDLE))
+
+
+@query(sql_hits(f"contains(text, {q(NEEDLE)})") + " SELECT file_path, line FROM hits ORDER BY chunk_id, line LIMIT 25")
+def locate_locations_limit(spark: SparkSession, d: str) -> DataFrame:
+    return locate.shown(locate.locate(corpus(spark, d), NEEDLE), "locations", 25)
+
+
+@query(sql_hits("contains(lower(text), 'tokenbudget') OR contains(lower(text), 'ledger')") + " SELECT file_path, line, text FROM hits")
+def locate_ignore_case(spark: SparkSession, d: str) -> DataFrame:
+    return locate.locate(corpus(spark, d), ["TokenBudget", "LEDGER"], ignore_case=True).select("file_path", "line", "text")
+
+
+_VARIANTS = locate.needles_of("rule", True)
+
+
+@query(sql_hits(" OR ".join(f"contains(text, {q(n)})" for n in _VARIANTS)) + " SELECT file_path, line, text FROM hits")
+def locate_variants(spark: SparkSession, d: str) -> DataFrame:
+    return locate.locate(corpus(spark, d), "rule", variants=True).select("file_path", "line", "text")
+
+
+@query(sql_hits(f"contains(text, {q(NEEDLE)})", r"regexp_matches(file_path, '(?:^|/)[^/]*\.go$') AND NOT regexp_matches(file_path, '^(?:[^/]*/)?tests/[^/]*/[^/]*$')") + " SELECT file_path, line FROM hits")
+def locate_glob(spark: SparkSession, d: str) -> DataFrame:
+    return locate.locate(corpus(spark, d), NEEDLE, include=["*.go"], exclude=["tests/*/*"]).select("file_path", "line")
+
+
+@query(sql_hits(f"contains(text, {q(NEEDLE)})") + " SELECT file_path, line, array_to_string(lines[greatest(i - 2, 0) + 1 : i + 3], '|') AS context, (start_line + greatest(i - 2, 0))::INT AS context_start_line FROM hits")
+def locate_context(spark: SparkSession, d: str) -> DataFrame:
+    return locate.locate(corpus(spark, d), NEEDLE, context=2).select("file_path", "line", F.array_join("context", "|").alias("context"), "context_start_line")
+
+
+@query("SELECT unnest(['tensorQueue', 'TensorQueue', 'tensor_queue', 'tensor-queue', 'TENSOR_QUEUE']) AS variant")
+def identifier_variants(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(v,) for v in locate.needles_of("tensorQueue", True)], "variant string")
+
+
+# --- vectors -----------------------------------------------------------------------------------------------------
+_FIRST = "qv AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
+_KNN = "1 - list_inner_product(embedding::DOUBLE[], q)"
+
+
+def _query_vector(spark: SparkSession, d: str) -> list[float]:
+    """The query is one vector of the table."""
+    return list(float_vectors(spark, d).where("chunk_id = 0").first()["embedding"])
+
+
+@query(f"WITH {_FIRST} SELECT vec_id AS chunk_id, round({_KNN}, 6) AS distance FROM embeddings, qv ORDER BY round({_KNN}, 9), vec_id LIMIT 10")
+def knn_float(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(dense.nearest(float_vectors(spark, d), _query_vector(spark, d), 10), "distance")
+
+
+@query(f"WITH {_FIRST} SELECT vec_id AS chunk_id, round({_KNN}, 6) AS distance FROM embeddings, qv WHERE label = 3 ORDER BY round({_KNN}, 9), vec_id LIMIT 10")
+def knn_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(dense.nearest(float_vectors(spark, d), _query_vector(spark, d), 10, selected=F.col("label") == 3), "distance")
+
+
+_INT8 = "v AS (SELECT chunk_id, any_value(codes)::DOUBLE[] AS c, any_value(scale)::DOUBLE AS s FROM vectors WHERE len(codes) = 256 GROUP BY chunk_id)"
+
+
+@query(
+    f"""WITH {_INT8}, a AS (SELECT min(chunk_id) AS chunk_id FROM v), qv AS (SELECT c AS qc, s AS qs FROM v JOIN a USING (chunk_id)),
+    d AS (SELECT chunk_id, 1 - list_inner_product(c, qc) * s * qs AS distance FROM v, qv)
+    SELECT chunk_id, round(distance, 6) AS distance FROM d ORDER BY round(distance, 9), chunk_id LIMIT 10"""
+)
+def knn_int8(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest by integer dot product times both scales; the query is the row of the smallest id."""
+    rows = int8_vectors(spark, d)
+    first = rows.orderBy("chunk_id").first()
+    literal = F.array(*[F.lit(int(c)) for c in first["codes"]])
+    whole = F.aggregate(F.zip_with("codes", literal, lambda x, y: x.cast("int") * y), F.lit(0), lambda s, x: s + x)
+    distance = 1 - whole * F.col("scale").cast("double") * F.lit(float(first["scale"]))
+    return rounded(dense.nearest(rows, list(first["codes"]), 10, distance, vector="codes"), "distance")
+
+
+@query(
+    """WITH m AS (SELECT vec_id, embedding, list_max(list_transform(embedding, lambda x: abs(x))) AS mx FROM embeddings),
+    c AS (SELECT vec_id, mx, list_transform(embedding, lambda x: CASE WHEN mx > 0 THEN greatest(-127, least(127, round((x * (127::FLOAT / mx)::FLOAT)::FLOAT::DOUBLE)::INT)) ELSE 0 END) AS codes FROM m)
+    SELECT vec_id AS chunk_id, array_to_string(codes, ',') AS codes, round(CASE WHEN mx > 0 THEN (mx / 127::FLOAT)::FLOAT ELSE 1 END::DOUBLE, 9) AS scale FROM c"""
+)
+def quantize_codes(spark: SparkSession, d: str) -> DataFrame:
+    rows = float_vectors(spark, d).select("chunk_id", dense.quantize(F.col("embedding")).alias("x"))
+    return rows.select("chunk_id", F.array_join("x.codes", ",").alias("codes"), F.round(F.col("x.scale").cast("double"), 9).alias("scale"))
+
+
+@query(
+    f"""WITH {_INT8}, f AS (SELECT chunk_id, list_transform(c, lambda x: x * s) AS f FROM v), n AS (SELECT chunk_id, f, sqrt(list_inner_product(f, f)) AS n FROM f)
+    SELECT chunk_id, round(CASE WHEN n > 0 THEN list_sum(list_transform(f, lambda x: x / n)) ELSE 0 END, 6) AS sum_unit, round(CASE WHEN n > 0 THEN f[1] / n ELSE 0 END, 6) AS first_unit FROM n"""
+)
+def dequantize_norm(spark: SparkSession, d: str) -> DataFrame:
+    rows = int8_vectors(spark, d).select("chunk_id", dense.dequantize(F.col("codes"), F.col("scale")).alias("u"))
+    return rows.select("chunk_id", F.round(F.aggregate("u", F.lit(0.0), lambda s, x: s + x), 6).alias("sum_unit"), F.round(F.col("u")[0], 6).alias("first_unit"))
+
+
+@query(
+    """WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+    m AS (SELECT label, i, avg(x) AS x FROM e GROUP BY label, i), n AS (SELECT label, sqrt(sum(x * x)) AS n FROM m GROUP BY label)
+    SELECT label, (i - 1)::INT AS pos, round(x / n, 6) AS value FROM m JOIN n USING (label)"""
+)
+def mean_pool_by_label(spark: SparkSession, d: str) -> DataFrame:
+    pooled = dense.mean_pool(float_vectors(spark, d), ["label"], "embedding")
+    return rounded(pooled.select("label", F.posexplode("embedding").alias("pos", "value")), "value")
+
+
+@query(
+    f"""WITH {CORPUS}, {_INT8}, l AS (SELECT v.*, language FROM v JOIN corpus USING (chunk_id)),
+    a AS (SELECT * FROM l WHERE language IS NOT NULL ORDER BY chunk_id LIMIT 1),
+    d AS (SELECT l.chunk_id, list_inner_product(l.c, a.c) * l.s * a.s AS score FROM l JOIN a ON l.language = a.language AND l.chunk_id <> a.chunk_id)
+    SELECT chunk_id, round(score, 6) AS score FROM d ORDER BY round(1 - score, 9), chunk_id LIMIT 5"""
+)
+def find_related(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest chunks of the same language to the first chunk that has a vector and a language."""
+    rows = int8_vectors(spark, d).join(corpus(spark, d).select("chunk_id", "language"), "chunk_id")
+    anchor = rows.where("language is not null").orderBy("chunk_id").first()
+    literal = F.array(*[F.lit(int(c)) for c in anchor["codes"]])
+    whole = F.aggregate(F.zip_with("codes", literal, lambda x, y: x.cast("int") * y), F.lit(0), lambda s, x: s + x)
+    distance = 1 - whole * F.col("scale").cast("double") * F.lit(float(anchor["scale"]))
+    near = dense.nearest(rows, list(anchor["codes"]), 6, distance, (F.col("language") == anchor["language"]) & (F.col("chunk_id") != anchor["chunk_id"]), "codes")
+    return rounded(sparse.top_k(dense.as_score(near), 5), "score")
+
+
+# --- fusion: row ids tie documents to vectors ------------------------------------------------------------------
+_BM = f"{_DOCS}, {sql_bm25(QUESTION, 'content', 'docs')}, bm AS (SELECT chunk_id, score FROM scored ORDER BY round(score, 9) DESC, chunk_id LIMIT 50)"
+_RRF = f"{_BM}, rb AS (SELECT chunk_id, 1.0 / (60 + row_number() OVER (ORDER BY round(score, 9) DESC, chunk_id)) AS score FROM bm)"
+_SEM = f"{_FIRST}, sm AS (SELECT vec_id AS chunk_id, 1 - ({_KNN}) AS score FROM embeddings, qv ORDER BY round({_KNN}, 9), vec_id LIMIT 50), rs AS (SELECT chunk_id, 1.0 / (60 + row_number() OVER (ORDER BY round(score, 9) DESC, chunk_id)) AS score FROM sm)"
+
+
+def sql_fused(alpha: float) -> str:
+    return f"WITH {_RRF}, {_SEM}, fu AS (SELECT chunk_id, {alpha} * coalesce(rs.score, 0) + {1 - alpha} * coalesce(rb.score, 0) AS score FROM rs FULL JOIN rb USING (chunk_id))"
+
+
+def _ranks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    keyword = fusion.reciprocal_rank(sparse.top_k(sparse.scan_scores(documents_as_chunks(spark, d), QUESTION, enrich=False), 50))
+    semantic = fusion.reciprocal_rank(dense.as_score(dense.nearest(float_vectors(spark, d), _query_vector(spark, d), 50)))
+    return semantic, keyword
+
+
+@query(f"WITH {_RRF} SELECT chunk_id, round(score, 6) AS score FROM rb")
+def rrf_bm25(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_ranks(spark, d)[1], "score")
+
+
+@query(sql_fused(0.5) + " SELECT chunk_id, round(score, 6) AS score FROM fu")
+def hybrid_fused(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(fusion.fused(*_ranks(spark, d), ranking.resolve_alpha(QUESTION)), "score")
+
+
+@query(sql_fused(0.7) + " SELECT chunk_id, round(score, 6) AS score FROM fu")
+def hybrid_alpha_explicit(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(fusion.fused(*_ranks(spark, d), ranking.resolve_alpha(QUESTION, 0.7)), "score")
+
+
+# --- ranking ------------------------------------------------------------------------------------------------------
+_CANDIDATES = f"{CORPUS}, {sql_bm25(KEYWORDS, sql_enriched())}, cand AS (SELECT chunk_id, file_path, score FROM scored ORDER BY round(score, 9) DESC, chunk_id LIMIT 100)"
+_COHERED = f"""{_CANDIDATES}, su AS (SELECT *, sum(score) OVER (PARTITION BY file_path) AS fs, row_number() OVER (PARTITION BY file_path ORDER BY round(score, 9) DESC, chunk_id) AS rn FROM cand),
+    co AS (SELECT chunk_id, file_path, score + CASE WHEN rn = 1 THEN (SELECT max(score) FROM su) * 0.2 * fs / (SELECT max(fs) FROM su) ELSE 0 END AS score FROM su)"""
+
+
+def sql_penalty(p: str) -> str:
+    return " * ".join(f"(CASE WHEN regexp_matches({p}, {q(pattern)}) THEN {factor} ELSE 1.0 END)" for pattern, factor in paths.PENALTIES)
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    chunks = corpus(spark, d)
+    return ranking.with_chunks(sparse.top_k(sparse.scan_scores(chunks, KEYWORDS), 100), chunks)
+
+
+@query(f"WITH {_COHERED} SELECT chunk_id, round(score, 6) AS score FROM co")
+def file_coherence(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ranking.cohere(_candidates(spark, d)).select("chunk_id", "score"), "score")
+
+
+@query(f"WITH {CORPUS}, f AS (SELECT DISTINCT file_path FROM corpus) SELECT file_path, round({sql_penalty('file_path')}, 6) AS penalty FROM f")
+def path_penalty(spark: SparkSession, d: str) -> DataFrame:
+    return corpus(spark, d).select("file_path").distinct().select("file_path", F.round(paths.path_penalty(F.col("file_path")), 6).alias("penalty"))
+
+
+SAMPLE_PATHS = ["src/auth.go", "tests/auth_test.go", "pkg/__init__.py", "legacy/compat/x.py", "docs_src/a.ts", "examples/b.rs", "types/index.d.ts", "test_helpers.rb", "a/FooTests.java", "spec/x_spec.rb", "src/app.test.tsx", "Dockerfile", "README.md", "conf/app.yaml", "x/y.H", "noext", "a.b/c.unknown", "lib/UserSpec.kt"]
+_SAMPLE = f"SELECT unnest([{', '.join(map(q, SAMPLE_PATHS))}]) AS file_path"
+
+
+@query(f"SELECT file_path, round({sql_penalty('file_path')}, 6) AS penalty FROM ({_SAMPLE})")
+def path_penalty_golden(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(p,) for p in SAMPLE_PATHS], "file_path string").select("file_path", F.round(paths.path_penalty(F.col("file_path")), 6).alias("penalty"))
+
+
+_SATURATED = """sa AS (SELECT chunk_id, file_path, score * power(0.5, row_number() OVER (PARTITION BY file_path ORDER BY round(score, 9) DESC, chunk_id) - 1) AS score FROM pe)"""
+
+
+@query(f"WITH {_CANDIDATES}, pe AS (SELECT chunk_id, file_path, score * {sql_penalty('file_path')} AS score FROM cand), {_SATURATED} SELECT chunk_id, round(score, 6) AS score FROM sa ORDER BY round(score, 9) DESC, chunk_id LIMIT 10")
+def file_saturation(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ranking.saturated(_candidates(spark, d), 10).select("chunk_id", "score"), "score")
+
+
+@query(f"WITH {_CANDIDATES} SELECT chunk_id, file_path, round(score, 6) AS score FROM cand QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY round(score, 9) DESC, chunk_id) = 1")
+def dedupe_by_file(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ranking.best_per_file(_candidates(spark, d)).select("chunk_id", "file_path", "score"), "score")
+
+
+@query(f"WITH {_CANDIDATES} SELECT chunk_id, floor(100 * score / (SELECT max(score) FROM cand) + 0.5)::INT AS relevance FROM cand")
+def relevance_pct(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.relevance(_candidates(spark, d)).select("chunk_id", "relevance")
+
+
+def sql_keyword_share(p: str, query_: str) -> str:
+    import re
+
+    words = sorted({w.lower() for w in re.findall(text.IDENTIFIER, query_) if len(w) > 2 and w.lower() not in text.STOPWORDS})
+    parent = f"regexp_extract({p}, '(?:^|/)([^/]*)/[^/]*$', 1)"
+    parts = f"list_concat({sql_parts(sql_stem(p))}, CASE WHEN {parent} IN ('', '.', '..') THEN [] ELSE {sql_parts(parent)} END)"
+    tests = [f"(CASE WHEN len(list_filter({parts}, lambda p: p = {q(w)} OR (length(p) >= 3 AND starts_with({q(w)}, p)) OR starts_with(p, {q(w)}))) > 0 THEN 1 ELSE 0 END)" for w in words]
+    return f"(({' + '.join(tests)})::DOUBLE / {len(words)})"
+
+
+@query(f"WITH {CORPUS}, f AS (SELECT DISTINCT file_path FROM corpus) SELECT file_path, round({sql_keyword_share('file_path', KEYWORDS)}, 6) AS share FROM f")
+def stem_keyword_share(spark: SparkSession, d: str) -> DataFrame:
+    return corpus(spark, d).select("file_path").distinct().select("file_path", F.round(ranking.keyword_share(F.col("file_path"), KEYWORDS), 6).alias("share"))
+
+
+@query(f"WITH {_CANDIDATES}, b AS (SELECT *, {sql_keyword_share('file_path', KEYWORDS)} AS sh, (SELECT max(score) FROM cand) AS mx FROM cand) SELECT chunk_id, round(score + CASE WHEN sh >= 0.1 THEN sh * mx ELSE 0 END, 6) AS score FROM b")
+def stem_boost(spark: SparkSession, d: str) -> DataFrame:
+    rows = _candidates(spark, d)
+    return rounded(ranking.boost_stems(rows, KEYWORDS, ranking.largest(rows)).select("chunk_id", "score"), "score")
+
+
+#: Small chunks for operators that the driver's texts do not exercise.
+FIXTURE = [
+    (1, "src/auth/session_manager.go", "go", "package auth\nfunc SessionManager(x int) {\n}\n"),
+    (2, "src/auth/login.go", "go", "// uses SessionManager\nfunc login() { SessionManager(1) }\n"),
+    (3, "tests/session_manager_test.go", "go", "func TestSessionManager(t *T) {}\n"),
+    (4, "lib/SessionManagers.py", "python", "class SessionManager:\n    pass\n"),
+    (5, "db/schema.sql", "sql", "create table SessionManager (id int);\n"),
+    (6, "bin/start.js", "javascript", "#!/usr/bin/env node\nasync function main() {}\n"),
+    (7, "src/installer/hooks.ts", "typescript", "export const hook = () => 1;\n"),
+    (8, "package.json", "json", "[package entry] bin: start.js\n"),
+    (9, "src/router.ts", "typescript", "export class Router { route() {} }\n"),
+    (10, "src/session.py", "python", "def session():\n    return SessionManager()\n"),
+]
+_FIX = "fix AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {q(p)}, {q(c)})" for i, p, _, c in FIXTURE) + ") t(chunk_id, file_path, content))"
+#: Candidates among them.
+_HELD = "cand AS (SELECT fix.*, s.score FROM fix JOIN (VALUES (2::BIGINT, 1.0::DOUBLE), (3, 0.8), (7, 0.5), (9, 0.9), (10, 0.4)) s(chunk_id, score) USING (chunk_id))"
+
+
+def _fixture(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    chunks = spark.createDataFrame([(i, p, c) for i, p, _, c in FIXTURE], "chunk_id bigint, file_path string, content string")
+    scores = spark.createDataFrame([(2, 1.0), (3, 0.8), (7, 0.5), (9, 0.9), (10, 0.4)], "chunk_id bigint, score double")
+    return chunks, ranking.with_chunks(scores, chunks)
+
+
+_DEFINES = "regexp_matches(content, '(?m)(?:^|\\s)(?:class|module|defmodule|def|interface|struct|enum|trait|type|func|function|object|abstract\\s+class|data\\s+class|fn|fun|package|namespace|protocol|record|typedef)\\s+(?:[A-Za-z_][A-Za-z0-9_]*(?:\\.|::))*SessionManager(?:\\s|[<({:\\[;]|$)') OR regexp_matches(content, '(?im)(?:^|\\s)(?:CREATE\\s+TABLE|CREATE\\s+VIEW|CREATE\\s+PROCEDURE|CREATE\\s+FUNCTION)\\s+(?:[A-Za-z_][A-Za-z0-9_]*(?:\\.|::))*SessionManager(?:\\s|[<({:\\[;]|$)')"
+_FLAT = f"replace(lower({sql_stem('file_path')}), '_', '')"
+_NAMED = f"regexp_replace({_FLAT}, 's$', '') = 'sessionmanager'"
+
+
+@query(
+    f"""WITH {_FIX}, {_HELD}, t AS (SELECT chunk_id, CASE WHEN {_DEFINES} THEN CASE WHEN {_NAMED} THEN 4.5 ELSE 3.0 END ELSE 0 END AS tier, {_NAMED} AS named FROM fix)
+    SELECT chunk_id, round(coalesce(cand.score, 0) + tier, 6)::DOUBLE AS score FROM t LEFT JOIN cand USING (chunk_id) WHERE cand.score IS NOT NULL OR (named AND tier > 0)"""
+)
+def symbol_definition_boost(spark: SparkSession, d: str) -> DataFrame:
+    chunks, scored = _fixture(spark)
+    return rounded(ranking.boost_symbol_definitions(scored, chunks, "SessionManager", ranking.largest(scored)).select("chunk_id", "score"), "score")
+
+
+@query(
+    f"""WITH {_FIX}, {_HELD}, t AS (SELECT chunk_id, CASE WHEN {_DEFINES} THEN CASE WHEN {_NAMED} THEN 2.25 ELSE 1.5 END ELSE 0 END AS tier, (length({_FLAT}) >= 4 AND starts_with('sessionmanager', {_FLAT})) AS near FROM fix)
+    SELECT chunk_id, round(coalesce(cand.score, 0) + tier, 6)::DOUBLE AS score FROM t LEFT JOIN cand USING (chunk_id) WHERE cand.score IS NOT NULL OR (near AND tier > 0)"""
+)
+def embedded_symbol_boost(spark: SparkSession, d: str) -> DataFrame:
+    chunks, scored = _fixture(spark)
+    return rounded(ranking.boost_embedded_symbols(scored, chunks, "who calls SessionManager first", ranking.largest(scored)).select("chunk_id", "score"), "score")
+
+
+@query(f"WITH {_FIX}, {_HELD} SELECT chunk_id, round(score + CASE WHEN {_FLAT} IN ('session', 'login') THEN 0.75 ELSE 0 END, 6)::DOUBLE AS score FROM cand")
+def exact_stem_boost(spark: SparkSession, d: str) -> DataFrame:
+    """``main`` is too generic to count."""
+    _, scored = _fixture(spark)
+    return rounded(ranking.boost_exact_stems(scored, "session login main", ranking.largest(scored)).select("chunk_id", "score"), "score")
+
+
+@query(
+    f"""WITH {_FIX}, {_HELD}, g AS (SELECT chunk_id, CASE WHEN starts_with(content, '[package entry]') THEN 2.5 WHEN contains(content, '#!/usr/bin') THEN 2.5 ELSE 0 END AS gain FROM fix)
+    SELECT chunk_id, round(coalesce(cand.score, 0) + gain, 6)::DOUBLE AS score FROM g LEFT JOIN cand USING (chunk_id) WHERE cand.score IS NOT NULL OR gain > 0"""
+)
+def location_boost(spark: SparkSession, d: str) -> DataFrame:
+    chunks, scored = _fixture(spark)
+    return rounded(ranking.boost_locations(scored, chunks, "where is the entry point", ranking.largest(scored)).select("chunk_id", "score"), "score")
+
+
+@query(f"WITH {_FIX}, {_HELD} SELECT chunk_id, round(score * CASE WHEN contains(file_path, '/installer/') THEN 0.35 ELSE 1 END, 6)::DOUBLE AS score FROM cand")
+def installer_penalty(spark: SparkSession, d: str) -> DataFrame:
+    _, scored = _fixture(spark)
+    return rounded(ranking.penalize_installer(scored, "where is the entry point").select("chunk_id", "score"), "score")
+
+
+@query()
+def hybrid_reranked(spark: SparkSession, d: str) -> DataFrame:
+    """The whole search over the chunks and their int8 vectors through an index."""
+    chunks = corpus(spark, d)
+    index = Index.from_chunks(chunks, vectors=int8_vectors(spark, d).where(F.exists("codes", lambda c: c != 0)), embedder=_FixedQuery())
+    return rounded(index.search(KEYWORDS, 10).select("chunk_id", "file_path", "score"), "score")
+
+
+@query()
+def hybrid_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """The same for a symbol, within one language."""
+    index = Index.from_chunks(corpus(spark, d), vectors=int8_vectors(spark, d), embedder=_FixedQuery())
+    return rounded(index.search(SYMBOL, 10, languages=["go"]).select("chunk_id", "file_path", "language", "score"), "score")
+
+
+class _FixedQuery(HashEmbedder):
+    """A query embedder of the width of the stored vectors."""
+
+    name = "hash-256"
+
+    def __init__(self):
+        super().__init__(256)
+
+
+# --- chunking ---------------------------------------------------------------------------------------------------
+def _doc_files(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.concat(F.lit("doc_"), "doc_id").alias("file_path"), F.lit(None).cast("string").alias("language"), "text")
+
+
+_FOLD = r"""WITH RECURSIVE l AS (SELECT doc_id, regexp_extract_all(text, '[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+') AS ls FROM documents WHERE text IS NOT NULL),
+    s(doc_id, ls, i, now, done) AS (
+        SELECT doc_id, ls, 0::BIGINT, '', NULL::VARCHAR FROM l
+        UNION ALL
+        SELECT doc_id, ls, i + 1,
+            CASE WHEN i >= len(ls) THEN '' WHEN now = '' OR strlen(now) + strlen(ls[i + 1]) <= 1500 THEN now || ls[i + 1] ELSE ls[i + 1] END,
+            CASE WHEN i >= len(ls) THEN nullif(now, '') WHEN now = '' OR strlen(now) + strlen(ls[i + 1]) <= 1500 THEN NULL ELSE now END
+        FROM s WHERE i <= len(ls))"""
+
+
+@query(_FOLD + " SELECT 'doc_' || doc_id AS file_path, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS pos, strlen(done)::INT AS n_bytes, md5(done) AS content_md5 FROM s WHERE done IS NOT NULL")
+def line_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Greedy line chunks by a fold inside the engine."""
+    return chunking.line_chunks_folded(_doc_files(spark, d)).select("file_path", "pos", F.octet_length("content").alias("n_bytes"), F.md5("content").alias("content_md5"))
+
+
+@query(
+    _FOLD
+    + """, c AS (SELECT 'doc_' || doc_id AS file_path, i, done, sum(strlen(done) - strlen(replace(done, chr(10), ''))) OVER (PARTITION BY doc_id ORDER BY i) - (strlen(done) - strlen(replace(done, chr(10), ''))) AS before FROM s WHERE done IS NOT NULL)
+    SELECT file_path, (row_number() OVER (PARTITION BY file_path ORDER BY i) - 1)::INT AS pos, (1 + before)::INT AS start_line, (1 + before + strlen(done[:-2]) - strlen(replace(done[:-2], chr(10), '')))::INT AS end_line FROM c WHERE regexp_matches(done, '[^\\x09-\\x0d\\x20]')"""
+)
+def chunk_line_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Line chunks with their lines, blank ones left out."""
+    return chunking.chunk_files(_doc_files(spark, d), how="lines").select("file_path", "pos", "start_line", "end_line")
+
+
+@query(
+    """WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT NULL),
+    w AS (SELECT doc_id, text, unnest(range(CASE WHEN n <= 1300 THEN 1 ELSE 1 + ceil((n - 1300) / 1180.0)::BIGINT END)) AS win_pos FROM d)
+    SELECT doc_id AS chunk_id, win_pos::INT AS win_pos, md5(text[win_pos * 1180 + 1 : win_pos * 1180 + 1300]) AS text_md5 FROM w"""
+)
+def embedding_windows(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.embedding_windows(documents_as_chunks(spark, d)).select("chunk_id", "win_pos", F.md5("text").alias("text_md5"))
+
+
+@query()
+def structural_units(spark: SparkSession, d: str) -> DataFrame:
+    """Structural chunks of every chunk's content, taken as a file of its language."""
+    files = corpus(spark, d).select(F.concat_ws("#", "file_path", "chunk_id").alias("file_path"), paths.language_of(F.col("file_path")).alias("language"), F.col("content").alias("text"))
+    return chunking.chunk_files(files).select("file_path", "pos", "start_line", "end_line", F.octet_length("content").alias("n_bytes"))
+
+
+@query()
+def tree_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the parser where it knows the language."""
+    files = corpus(spark, d).select(F.concat_ws("#", "file_path", "chunk_id").alias("file_path"), paths.language_of(F.col("file_path")).alias("language"), F.col("content").alias("text"))
+    return chunking.chunk_files(files, how="tree").select("file_path", "pos", "start_line", "end_line", F.octet_length("content").alias("n_bytes"))
+
+
+@query()
+def wordpiece_counts(spark: SparkSession, d: str) -> DataFrame:
+    vocabulary = [r[0] for r in table(spark, d, "wordpiece_vocab").select("token").collect()]  # a vocabulary file
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", wordpiece_count(spark, F.col("text"), vocabulary).alias("n_tokens"))
+
+
+# --- navigation ---------------------------------------------------------------------------------------------------
+_PLACES = "places AS (SELECT DISTINCT file_path, start_line + 3 AS line FROM corpus)"
+
+
+@query(
+    f"""WITH {CORPUS}, {_PLACES}, m AS (SELECT p.file_path, p.line, c.chunk_id, row_number() OVER (PARTITION BY p.file_path, p.line ORDER BY (c.end_line = p.line)::INT, c.chunk_id) AS r
+    FROM places p JOIN corpus c ON c.file_path = p.file_path AND p.line BETWEEN c.start_line AND c.end_line)
+    SELECT p.file_path, p.line, m.chunk_id FROM places p LEFT JOIN m ON m.file_path = p.file_path AND m.line = p.line AND m.r = 1"""
+)
+def resolve_chunk(spark: SparkSession, d: str) -> DataFrame:
+    chunks = corpus(spark, d)
+    return navigate.resolve_many(chunks, chunks.select("file_path", (F.col("start_line") + 3).alias("line")))
+
+
+_BIGGEST = "big AS (SELECT file_path FROM corpus GROUP BY file_path ORDER BY count(*) DESC, file_path LIMIT 1)"
+
+
+def _biggest(chunks: DataFrame) -> str:
+    return chunks.groupBy("file_path").count().orderBy(F.desc("count"), "file_path").first()["file_path"]
+
+
+@query(f"WITH {CORPUS}, {_BIGGEST} SELECT chunk_id, start_line, end_line FROM corpus JOIN big USING (file_path)")
+def chunks_for_file(spark: SparkSession, d: str) -> DataFrame:
+    chunks = corpus(spark, d)
+    return navigate.chunks_of_file(chunks, _biggest(chunks)).select("chunk_id", "start_line", "end_line")
+
+
+@query(
+    f"""WITH {CORPUS}, {_BIGGEST}, n AS (SELECT corpus.*, row_number() OVER (ORDER BY start_line, chunk_id) AS r FROM corpus JOIN big USING (file_path)),
+    l AS (SELECT start_line + 1 AS line FROM n WHERE r = 3), a AS (SELECT r AS a FROM n, l WHERE line BETWEEN start_line AND end_line ORDER BY (end_line = line)::INT, chunk_id LIMIT 1)
+    SELECT chunk_id, start_line, r = a AS is_anchor FROM n, a WHERE r BETWEEN a - 1 AND a + 1"""
+)
+def expand_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    chunks = corpus(spark, d)
+    path = _biggest(chunks)
+    third = navigate.chunks_of_file(chunks, path).limit(3).orderBy(F.desc("start_line"), F.desc("chunk_id")).first()
+    return navigate.expand(chunks, path, third["start_line"] + 1).select("chunk_id", "start_line", "is_anchor")
+
+
+_SN = snippet.match_terms(QUESTION)
+
+
+@query(
+    f"""WITH {CORPUS}, l AS (SELECT *, string_split(coalesce(content, ''), chr(10)) AS lines FROM corpus),
+    s AS (SELECT *, list_transform(lines, lambda x: {' + '.join(f"contains(lower(x), {q(t)})::INT" for t in _SN)}) AS sc FROM l),
+    a AS (SELECT *, list_position(sc, list_max(sc)) - 1 AS pos FROM s),
+    b AS (SELECT *, greatest(pos - 3, 0) AS f, least(pos + 3, len(lines) - 1) AS t FROM a)
+    SELECT chunk_id, (start_line + pos)::INT AS anchor_line, (f > 0 OR t < len(lines) - 1) AS truncated, (CASE WHEN f > 0 OR t < len(lines) - 1 THEN start_line + f ELSE start_line END)::INT AS start_line,
+        (CASE WHEN f > 0 OR t < len(lines) - 1 THEN start_line + t ELSE end_line END)::INT AS end_line, md5(CASE WHEN f > 0 OR t < len(lines) - 1 THEN array_to_string(lines[f + 1 : t + 1], chr(10)) ELSE content END) AS content_md5 FROM b"""
+)
+def snippet_trim(spark: SparkSession, d: str) -> DataFrame:
+    return snippet.snippets(corpus(spark, d), QUESTION, 3).select("chunk_id", "anchor_line", "truncated", "start_line", "end_line", F.md5("content").alias("content_md5"))
+
+
+@query(f"WITH {CORPUS} SELECT chunk_id, file_path || ':' || start_line || ':' || end_line AS key, file_path || ':' || start_line || '-' || end_line AS location FROM corpus")
+def chunk_keys(spark: SparkSession, d: str) -> DataFrame:
+    p, a, b = F.col("file_path"), F.col("start_line"), F.col("end_line")
+    return corpus(spark, d).select("chunk_id", navigate.chunk_key(p, a, b).alias("key"), navigate.location(p, a, b).alias("location"))
+
+
+@query(f"WITH {CORPUS} SELECT chunk_id FROM corpus WHERE language IN ('go', 'python') AND starts_with(file_path, 'meridian-monorepo/')")
+def filter_selector(spark: SparkSession, d: str) -> DataFrame:
+    return corpus(spark, d).where(navigate.selection(["go", "python"], ["meridian-monorepo/"])).select("chunk_id")
+
+
+# --- sources --------------------------------------------------------------------------------------------------------
+_EXT = r"lower(regexp_extract(regexp_extract(file_path, '([^/]*)$', 1), '(\.[^.]*)$', 1))"
+_LANG = "MAP {" + ", ".join(f"{q(e)}: {q(v)}" for e, v in paths.EXTENSION_LANGUAGE.items()) + "}"
+_CONT = "MAP {" + ", ".join(f"{q(e)}: {q(v)}" for e, v in paths.EXTENSION_CONTENT.items()) + "}"
+
+
+@query(f"WITH {CORPUS}, f AS (SELECT DISTINCT file_path FROM corpus UNION {_SAMPLE}) SELECT file_path, CASE WHEN lower(regexp_extract(file_path, '([^/]*)$', 1)) = 'dockerfile' THEN 'dockerfile' ELSE {_LANG}[{_EXT}] END AS language, {_CONT}[{_EXT}] AS content_type FROM f")
+def language_detect(spark: SparkSession, d: str) -> DataFrame:
+    rows = corpus(spark, d).select("file_path").union(spark.createDataFrame([(p,) for p in SAMPLE_PATHS], "file_path string")).distinct()
+    return rows.select("file_path", paths.language_of(F.col("file_path")).alias("language"), paths.content_type_of(F.col("file_path")).alias("content_type"))
+
+
+@query(
+    f"""WITH s AS (SELECT DISTINCT repo, file_path, size_bytes FROM source_files)
+    SELECT repo, file_path, size_bytes FROM s WHERE NOT regexp_matches(file_path, '(?:^|/)(?:\\.git|node_modules|vendor|dist|build)/') AND {_CONT}[{_EXT}] IN ('code', 'config') AND coalesce(size_bytes, 0) <= 1000000"""
+)
+def scan_filter(spark: SparkSession, d: str) -> DataFrame:
+    return scan.accepted(table(spark, d, "source_files").select("repo", "file_path", "size_bytes").distinct())
+
+
+@query()
+def folder_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A folder of small files read back through the scan; its files are made here from the fixture."""
+    root = tempfile.mkdtemp(prefix="lodestone-scan-")
+    for _, path, _, content in FIXTURE:
+        os.makedirs(os.path.dirname(os.path.join(root, path)) or root, exist_ok=True)
+        with open(os.path.join(root, path), "w", encoding="utf-8") as f:
+            f.write(content)
+    return scan.read_folder(spark, root, ("code", "config")).select("file_path", "ext", "content_type", "language", "size_bytes", "text")
+
+
+# --- maintenance ------------------------------------------------------------------------------------------------------
+_CHANGED = "ch AS (SELECT DISTINCT file_path FROM corpus WHERE contains(file_path, '/lib/'))"
+
+
+@query(
+    f"""WITH {CORPUS}, {_CHANGED}, kept AS (SELECT chunk_id, file_path, start_line FROM corpus WHERE file_path NOT IN (SELECT file_path FROM ch)),
+    fresh AS (SELECT file_path, start_line, row_number() OVER (ORDER BY file_path, start_line) AS r FROM (SELECT DISTINCT file_path, 1 AS start_line FROM ch))
+    SELECT * FROM kept UNION ALL SELECT (SELECT max(chunk_id) FROM corpus) + r, file_path, start_line FROM fresh"""
+)
+def incremental_apply(spark: SparkSession, d: str) -> DataFrame:
+    """Files below lib are replaced by one new chunk each."""
+    chunks = corpus(spark, d)
+    changed = chunks.where(F.contains("file_path", F.lit("/lib/"))).select("file_path").distinct()
+    fresh = changed.select(F.lit(0).cast("bigint").alias("chunk_id"), "file_path", F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.lit(None).cast("string").alias("language"), F.lit("new").alias("content"))
+    return incremental.apply_changes(chunks, changed, fresh).select("chunk_id", "file_path", "start_line")
+
+
+_LISTING = "(SELECT concat_ws('/', repo, file_path) AS file_path, max(mtime_ms) AS mtime_ms, max(size_bytes) AS size_bytes FROM source_files GROUP BY 1)"
+
+
+@query(
+    f"""WITH a AS (SELECT * FROM {_LISTING} WHERE NOT contains(file_path, '/api/')), b AS (SELECT file_path, mtime_ms + CASE WHEN contains(file_path, '/cmd/') THEN 1 ELSE 0 END AS mtime_ms, size_bytes FROM {_LISTING} WHERE NOT contains(file_path, '/tests/'))
+    SELECT file_path, CASE WHEN a.file_path IS NULL THEN 'added' WHEN b.file_path IS NULL THEN 'removed' ELSE 'modified' END AS change FROM a FULL JOIN b USING (file_path)
+    WHERE a.file_path IS NULL OR b.file_path IS NULL OR a.mtime_ms IS DISTINCT FROM b.mtime_ms OR a.size_bytes IS DISTINCT FROM b.size_bytes"""
+)
+def changed_files(spark: SparkSession, d: str) -> DataFrame:
+    """Two listings that differ by folders added, removed and touched."""
+    rows = table(spark, d, "source_files").groupBy(F.concat_ws("/", "repo", "file_path").alias("file_path")).agg(F.max("mtime_ms").alias("mtime_ms"), F.max("size_bytes").alias("size_bytes"))
+    before = rows.where(~F.contains("file_path", F.lit("/api/")))
+    now = rows.where(~F.contains("file_path", F.lit("/tests/"))).withColumn("mtime_ms", F.col("mtime_ms") + F.contains("file_path", F.lit("/cmd/")).cast("int"))
+    return incremental.changed_files(before, now)
+
+
+@query(
+    """SELECT * FROM (VALUES ('same', true), ('other model', false), ('other width', false), ('other storage', false), ('other content', false), ('old epoch', false), ('content in another order', true)) t("case", valid)"""
+)
+def cache_validity(spark: SparkSession, d: str) -> DataFrame:
+    good = {"index_epoch": bundle.cache_epoch(), "embedding_model": "m", "embedding_dimensions": 4, "vector_storage": "int8", "content_type": ["code", "config"]}
+    cases = {"same": {}, "other model": {"embedding_model": "x"}, "other width": {"embedding_dimensions": 5}, "other storage": {"vector_storage": "float32"}, "other content": {"content_type": ["code"]}, "old epoch": {"index_epoch": "0"}, "content in another order": {"content_type": ["config", "code"]}}
+    rows = [(name, not bundle.invalid_because(json.loads(json.dumps(good | change)), "m", 4, "int8", ("code", "config"))) for name, change in cases.items()]
+    return spark.createDataFrame(rows, "case string, valid boolean")
+
+
+@query(f"WITH {CORPUS}, {sql_bm25(KEYWORDS, sql_enriched())} {_TOP.format(k=10)}")
+def bundle_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Keyword search over an index that was saved and loaded again."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-bundle-")
+    path = f"{folder.rstrip('/')}/bundle-{os.urandom(6).hex()}"
+    Index.from_chunks(corpus(spark, d), vectors=int8_vectors(spark, d), embedder=_FixedQuery()).save(path)
+    return rounded(Index.load(spark, path, _FixedQuery()).keyword(KEYWORDS, 10), "score")
+
+
+# --- additions over the star schema and events (no counterpart in the retrieval operators) --------------------------
+@query(
+    """SELECT l_returnflag, l_linestatus, grouping(l_returnflag, l_linestatus)::BIGINT AS level, count(*) AS n, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+    FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)"""
+)
+def ext_cube(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").cube("l_returnflag", "l_linestatus")
+    return rows.agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def ext_tumbling_window(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("start"), "event_type")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
+    SELECT user_id, session::BIGINT AS session, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY user_id, session"""
+)
+def ext_sessions(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts")
+    gap = F.col("ts") - F.lag("ts").over(w)
+    opened = table(spark, d, "events").select("user_id", "ts", F.when(gap.isNull() | (gap > F.expr("interval 30 minutes")), 1).otherwise(0).alias("new"))
+    rows = opened.withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@query(
+    """WITH p AS (SELECT user_id, ts, event_id FROM events WHERE event_type = (SELECT min(event_type) FROM events)), o AS (SELECT * FROM events WHERE event_type <> (SELECT min(event_type) FROM events))
+    SELECT o.event_id, max(p.ts) AS last_ts FROM o LEFT JOIN p ON p.user_id = o.user_id AND p.ts <= o.ts GROUP BY o.event_id"""
+)
+def ext_asof(spark: SparkSession, d: str) -> DataFrame:
+    """The latest earlier event of the first type per user, by one ordered pass instead of a range join."""
+    e = table(spark, d, "events")
+    first = F.broadcast(e.agg(F.min("event_type").alias("t0")))  # one row
+    w = Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = e.crossJoin(first).withColumn("last_ts", F.max(F.when(F.col("event_type") == F.col("t0"), F.col("ts"))).over(w))
+    return seen.where("event_type <> t0").select("event_id", "last_ts")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
