@@ -37,21 +37,24 @@ class WordPiece:
         self.vocabulary = frozenset(vocabulary)
         self.unknown, self.prefix, self.max_chars, self.lowercase = unknown, prefix, max_chars, lowercase
         self.longest = max(map(len, self.vocabulary), default=0)
-        marks = re.escape("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") + category_class("P")
+        ascii_marks = re.escape("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+        marks = ascii_marks + category_class("P")
         self._control = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f�]")
         self._accent = re.compile(f"[{category_class('M')}]")
         self._lone = re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in IDEOGRAPHS) + "]")
         self._words = re.compile(f"[{marks}]|[^\\s{marks}]+")
+        self._ascii_words = re.compile(f"[{ascii_marks}]|[^\\s{ascii_marks}]+")
         self._seen: dict[str, list[str]] = {}
 
     def words(self, text: str) -> list[str]:
-        text = self._control.sub("", text)
-        if not text.isascii():
+        if self._control.search(text):
+            text = self._control.sub("", text)
+        if text.isascii():
+            return self._ascii_words.findall(text.lower() if self.lowercase else text)
+        if self._lone.search(text):
             text = self._lone.sub(lambda m: f" {m[0]} ", text)
         if self.lowercase:
-            text = text.replace("Σ", "σ").lower()
-            if not text.isascii():
-                text = self._accent.sub("", unicodedata.normalize("NFD", text))
+            text = self._accent.sub("", unicodedata.normalize("NFD", text.replace("Σ", "σ").lower()))
         return self._words.findall(text)
 
     def pieces(self, word: str) -> list[str]:
