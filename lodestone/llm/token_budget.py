@@ -16,34 +16,20 @@ Counts of words seen before are kept in a bounded per-worker table.
 from __future__ import annotations
 
 import base64
-import re
 import sys
-import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.wordpiece import WordPiece
 from lodestone.llm.common import label_key, text_batches
 
 #: Words whose counts one worker remembers; the table is emptied when full.
 REMEMBERED_WORDS = 400_000
 
 
-def _class_of(*prefixes: str, extra: str = "") -> str:
-    """A regular-expression class body of all characters whose Unicode category starts so."""
-    ranges: list[list[int]] = []
-    for cp in range(sys.maxunicode + 1):
-        ch = chr(cp)
-        if unicodedata.category(ch).startswith(prefixes) or ch in extra:
-            if ranges and ranges[-1][1] == cp - 1:
-                ranges[-1][1] = cp
-            else:
-                ranges.append([cp, cp])
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
-
-
 class _Remembered(dict):
     """word -> count, computed on first sight."""
 
@@ -120,33 +106,13 @@ class GreedyAutomaton:
 class WordPieceCounter:
     """Tokens of a text under a lower-casing, accent-stripping WordPiece vocabulary."""
 
-    #: Blocks of ideographs that stand alone as words.
-    IDEOGRAPHS = ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B820, 0x2CEAF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F))
-
     def __init__(self, tokens: Iterable[str], prefix: str = "##", max_chars: int = 100):
+        tokens = list(tokens)
+        self._split = WordPiece(tokens, prefix=prefix, max_chars=max_chars).words
         self.words = _Remembered(GreedyAutomaton(tokens, prefix, max_chars).count)
-        ascii_marks = re.escape("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
-        marks = ascii_marks + _class_of("P")
-        lone = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in self.IDEOGRAPHS)
-        self._control = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f�]")
-        self._accent = re.compile(f"[{_class_of('M')}]")
-        self._plain = re.compile(f"[{ascii_marks}]|[^\\s{ascii_marks}]+")
-        self._lone = re.compile(f"[{lone}]")
-        self._any = re.compile(f"[{marks}]|[^\\s{marks}]+")
 
     def count(self, text: str | None) -> int:
-        if not text:
-            return 0
-        if self._control.search(text):
-            text = self._control.sub("", text)
-        if text.isascii():
-            found = self._plain.findall(text.lower())
-        else:
-            if self._lone.search(text):
-                text = self._lone.sub(lambda m: f" {m[0]} ", text)
-            text = unicodedata.normalize("NFD", text.replace("Σ", "σ").lower())
-            found = self._any.findall(self._accent.sub("", text))
-        return sum(map(self.words.__getitem__, found))
+        return sum(map(self.words.__getitem__, self._split(text))) if text else 0
 
 
 class BytePairAutomaton:
