@@ -32,7 +32,7 @@ def apply_changes(chunks: DataFrame, changed: DataFrame, new_chunks: DataFrame)
 
 def keep_for(rows: DataFrame, chunks: DataFrame) -> DataFrame:
     """Rows of an index table whose chunk is still there."""
-    return rows.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+    return rows.join(chunks.select("chunk_id"), "chunk_id", "left_semi").select(*rows.columns)
 
 
 def changed_files(before: DataFrame, now: DataFrame) -> DataFrame:

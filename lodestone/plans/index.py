@@ -150,4 +150,5 @@ class Index:
         return self.chunks.join(F.broadcast(best), "chunk_id").orderBy(F.round("score", 9).desc(), "chunk_id")  # top_k rows
 
     def snippets(self, results: DataFrame, query: str, lines: int = snippet.LINES) -> DataFrame:
-        return ranking.relevance(snippet.snippets(results, query, lines))
+        """Results cut around the query, with relevance, best first."""
+        return ranking.relevance(snippet.snippets(results, query, lines)).orderBy(F.round("score", 9).desc(), "chunk_id")
