@@ -34,18 +34,31 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back.
 
     The copy survives the loss of any executor, is columnar (later stages read
-    only the columns they need) and splits by size.
+    only the columns they need) and splits by size. It stays until ``release``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Remove the tables that ``written`` made in this process; results that read them end with it."""
+    gone = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
+
+
 def label_key(column: Column) -> Column:
     """Spelling-independent form of a label: trimmed, lower case, one kind of joiner."""
     return F.regexp_replace(F.lower(F.trim(column)), r"[\s\-]+", "_")

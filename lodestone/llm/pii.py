@@ -149,8 +149,11 @@ _IN_LIST = re.compile(f"({_ONE_PLAIN}){_END}")
 _SIGNATURE = re.compile(f"(?:^|(?<=[.!?:;] )|(?<=\\n))[^\\S\\n]*(?:[/#*>|\\-]+{_S})?--{_S}({_ONE}){_END}(?=\\s*$|\\s*\\n|{_S}[{_UP}])", re.M)
 _PRODUCT_AFTER = re.compile(rf"{_S}?(?:is the code name|needs \d|rule\b|loader\b|print\b|is a (?:release|product|library)|v?\d+\.\d)")
 _ARTICLE_BEFORE = re.compile(r"(?:^|\W)(?:[Tt]he|[Aa]n?|[Dd]er|[Dd]ie|[Dd]as|[Ee]l|[Ll]a|[Ll]e|[Ll]es|[Ll]os|[Ee]in|[Uu]ne?|[Oo]nly)\s+$")
-#: Words that follow a capital at a sentence's start but are no family names.
-_NOT_NAMES = frozenset("The This That Then Please Note Since When After Before Title Fixes Could Both Every Half Nobody Our Set Users What Does Without Calling Rename Profiling Reading Bumping Again Sadly".split())
+#: Words that open a sentence or a notice and are no part of a name.
+_NOT_NAMES = frozenset(
+    "The This That Then Please Note Since When After Before Title Fixes Could Both Every Half Nobody Our Set Users What Does Without Calling Rename Profiling Reading Bumping Again Sadly "
+    "Reported Reviewed Signed Thanks Author Owner Contact Questions Gemeldet Bitte Danke Kurz Hinweis Der Die Das Ein Eine Im Informado Gracias Llamad Dudas Nota Ojo El La Los Las En Signalé Merci Appelez Le Les Un Une Nous".split()
+)
 
 
 _ID_GATES = ("social", "ssn", "tin", "tax", "passport", "id card", "identity", "national id", "dni", "nif", "nie", "segur", "pasaporte", "identidad", "nir", "sécurité", "fiscal", "identité", "passeport", "cni", "steuer", "sozial", "ausweis", "reisepass")

@@ -41,6 +41,8 @@ def found(text):
         ("Lane 31 of the Harbor dashboard is red.", set()),
         ("Thanks to Vance, Maren for the bisect!", {("name", "Vance, Maren")}),
         ("Sönke van der Horst schrieb:", {("name", "Sönke van der Horst")}),
+        ("-- Gemeldet von Tessa Vance (t@a.example).", {("name", "Tessa Vance"), ("email", "t@a.example")}),
+        ("-- Bitte Tessa Vance unter 030/23125-908 anrufen.", {("name", "Tessa Vance"), ("phone", "030/23125-908")}),
         ("-- Jürgen K. Vance", {("name", "Jürgen K. Vance")}),
         ('maintainers = ["Tessa Quill-Brügg", "Saffron Vance"]', {("name", "Tessa Quill-Brügg"), ("name", "Saffron Vance")}),
         ("cc Wren Vance, Oda Mere", {("name", "Wren Vance"), ("name", "Oda Mere")}),
