@@ -68,17 +68,19 @@ def _is(word: str) -> Callable[[Column], Column]:
 def scan_scores(chunks: DataFrame, query: str, enrich: bool = True, selected: Column | None = None) -> DataFrame:
     """``(chunk_id, score)`` of chunks that hold a query term, straight from the chunks.
 
-    One narrow pass counts each query term per chunk; nothing is exploded and only
-    a one-row aggregate of statistics is exchanged. Statistics cover all chunks,
-    ``selected`` restricts the result only. Terms no chunk holds add nothing; a
-    query without terms gives no row.
+    One pass counts each query term per chunk; nothing is exploded. The narrow
+    counts are exchanged by chunk once and serve both the one-row statistics and
+    the scores; rows that occur more than once under an id (identical) count once.
+    Statistics cover all chunks, ``selected`` restricts the result only. Terms no
+    chunk holds add nothing; a query without terms gives no row.
     """
     terms = query_terms(query)
     if not terms:
         return chunks.select("chunk_id", F.lit(0.0).alias("score")).where(F.lit(False))
     text = enriched(F.col("content"), F.col("file_path")) if enrich else F.col("content")
     rows = chunks.select("chunk_id", (F.lit(True) if selected is None else F.coalesce(selected, F.lit(False))).alias("sel"), tokens(text).alias("t"))
-    counted = rows.select("chunk_id", "sel", F.size("t").alias("dl"), *[F.size(F.filter("t", _is(w))).alias(f"tf{i}") for i, w in enumerate(terms)])
+    each = rows.select("chunk_id", "sel", F.size("t").alias("dl"), *[F.size(F.filter("t", _is(w))).alias(f"tf{i}") for i, w in enumerate(terms)])
+    counted = each.groupBy("chunk_id").agg(*[F.max(c).alias(c) for c in each.columns[1:]])
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))])
     score = sum((F.when(F.col(f"tf{i}") > 0, _weight(F.col(f"tf{i}"), F.col("dl"), F.col("avg"), _idf(F.col("n"), F.col(f"df{i}")))).otherwise(0.0) for i in range(len(terms))), F.lit(0.0))
     hit = sum((F.col(f"tf{i}") for i in range(len(terms))), F.lit(0)) > 0

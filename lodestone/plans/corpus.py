@@ -10,10 +10,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def corpus_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks as they are, repeated rows included, with the repository as the first folder of the path.
+
+    For operators whose results are narrow: these drop repeats afterwards, which
+    moves a few columns instead of the texts.
+    """
+    return table(spark, sf_dir, "chunks").select("chunk_id", F.concat_ws("/", "repo", "file_path").alias("file_path"), "start_line", "end_line", "language", "content")
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks, each once, with the repository as the first folder of the path."""
-    rows = table(spark, sf_dir, "chunks").dropDuplicates(["chunk_id"])
-    return rows.select("chunk_id", F.concat_ws("/", "repo", "file_path").alias("file_path"), "start_line", "end_line", "language", "content")
+    """The same with each chunk once."""
+    return corpus_rows(spark, sf_dir).dropDuplicates(["chunk_id"])
 
 
 def documents_as_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

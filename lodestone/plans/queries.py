@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import paths, text
 from lodestone.functions.wordpiece import wordpiece_count
 from lodestone.operators import chunking, dense, fusion, incremental, locate, navigate, ranking, snippet, sparse
-from lodestone.plans.corpus import corpus, documents_as_chunks, float_vectors, int8_vectors, table
+from lodestone.plans.corpus import corpus, corpus_rows, documents_as_chunks, float_vectors, int8_vectors, table
 from lodestone.plans.index import Index
 from lodestone.sources import bundle, scan
 from lodestone.sources.embedders import HashEmbedder
@@ -100,7 +100,7 @@ def split_identifier(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {CORPUS} SELECT chunk_id, len(t)::INT AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT chunk_id, {sql_tokens('content')} AS t FROM corpus)")
 def tokenize_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return sparse.chunk_tokens(corpus(spark, d), enrich=False).select("chunk_id", F.size("tokens").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
+    return sparse.chunk_tokens(corpus_rows(spark, d), enrich=False).select("chunk_id", F.size("tokens").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5")).distinct()
 
 
 @query(f"SELECT doc_id, len(t)::INT AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {sql_tokens('text')} AS t FROM documents)")
@@ -111,7 +111,7 @@ def tokenize_docs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {CORPUS} SELECT chunk_id, md5({sql_enriched()}) AS enriched_md5 FROM corpus")
 def enriched_text(spark: SparkSession, d: str) -> DataFrame:
-    return corpus(spark, d).select("chunk_id", F.md5(sparse.enriched(F.col("content"), F.col("file_path"))).alias("enriched_md5"))
+    return corpus_rows(spark, d).select("chunk_id", F.md5(sparse.enriched(F.col("content"), F.col("file_path"))).alias("enriched_md5")).distinct()
 
 
 # --- keyword retrieval ----------------------------------------------------------------------------------------
@@ -144,7 +144,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {CORPUS}, {sql_bm25(KEYWORDS, sql_enriched())} {_TOP.format(k=20)}")
 def bm25_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(sparse.top_k(sparse.scan_scores(corpus(spark, d), KEYWORDS), 20), "score")
+    return rounded(sparse.top_k(sparse.scan_scores(corpus_rows(spark, d), KEYWORDS), 20), "score")
 
 
 @query(f"WITH {CORPUS}, {sql_bm25(KEYWORDS, sql_enriched())} {_TOP.format(k=20)}")
@@ -157,7 +157,7 @@ def bm25_from_index(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {CORPUS}, {sql_bm25(KEYWORDS, sql_enriched(), where=chr(10).join(['language = ' + q('go')]))} {_TOP.format(k=20)}")
 def bm25_filtered_language(spark: SparkSession, d: str) -> DataFrame:
     """Statistics stay global; the filter binds the result."""
-    return rounded(sparse.top_k(sparse.scan_scores(corpus(spark, d), KEYWORDS, selected=navigate.selection(["go"])), 20), "score")
+    return rounded(sparse.top_k(sparse.scan_scores(corpus_rows(spark, d), KEYWORDS, selected=navigate.selection(["go"])), 20), "score")
 
 
 # --- literal search ---------------------------------------------------------------------------------------------
@@ -173,22 +173,22 @@ NEEDLE = "manifest"
 
 @query(sql_hits(f"contains(text, {q(NEEDLE)})") + " SELECT file_path, line, text FROM hits")
 def locate_lines(spark: SparkSession, d: str) -> DataFrame:
-    return locate.locate(corpus(spark, d), NEEDLE).select("file_path", "line", "text")
+    return locate.locate(corpus_rows(spark, d), NEEDLE).select("file_path", "line", "text")
 
 
 @query(sql_hits(f"contains(text, {q(NEEDLE)})") + " SELECT count(*) AS n, count(DISTINCT file_path) AS files, false AS truncated FROM hits")
 def locate_count(spark: SparkSession, d: str) -> DataFrame:
-    return locate.summary(locate.locate(corpus(spark, d), NEEDLE))
+    return locate.summary(locate.locate(corpus_rows(spark, d), NEEDLE))
 
 
 @query(sql_hits(f"contains(text, {q(NEEDLE)})") + " SELECT file_path, line FROM hits ORDER BY chunk_id, line LIMIT 25")
 def locate_locations_limit(spark: SparkSession, d: str) -> DataFrame:
-    return locate.shown(locate.locate(corpus(spark, d), NEEDLE), "locations", 25)
+    return locate.shown(locate.locate(corpus_rows(spark, d), NEEDLE), "locations", 25)
 
 
 @query(sql_hits("contains(lower(text), 'tokenbudget') OR contains(lower(text), 'ledger')") + " SELECT file_path, line, text FROM hits")
 def locate_ignore_case(spark: SparkSession, d: str) -> DataFrame:
-    return locate.locate(corpus(spark, d), ["TokenBudget", "LEDGER"], ignore_case=True).select("file_path", "line", "text")
+    return locate.locate(corpus_rows(spark, d), ["TokenBudget", "LEDGER"], ignore_case=True).select("file_path", "line", "text")
 
 
 _VARIANTS = locate.needles_of("rule", True)
@@ -196,17 +196,17 @@ _VARIANTS = locate.needles_of("rule", True)
 
 @query(sql_hits(" OR ".join(f"contains(text, {q(n)})" for n in _VARIANTS)) + " SELECT file_path, line, text FROM hits")
 def locate_variants(spark: SparkSession, d: str) -> DataFrame:
-    return locate.locate(corpus(spark, d), "rule", variants=True).select("file_path", "line", "text")
+    return locate.locate(corpus_rows(spark, d), "rule", variants=True).select("file_path", "line", "text")
 
 
 @query(sql_hits(f"contains(text, {q(NEEDLE)})", r"regexp_matches(file_path, '(?:^|/)[^/]*\.go$') AND NOT regexp_matches(file_path, '^(?:[^/]*/)?tests/[^/]*/[^/]*$')") + " SELECT file_path, line FROM hits")
 def locate_glob(spark: SparkSession, d: str) -> DataFrame:
-    return locate.locate(corpus(spark, d), NEEDLE, include=["*.go"], exclude=["tests/*/*"]).select("file_path", "line")
+    return locate.locate(corpus_rows(spark, d), NEEDLE, include=["*.go"], exclude=["tests/*/*"]).select("file_path", "line")
 
 
 @query(sql_hits(f"contains(text, {q(NEEDLE)})") + " SELECT file_path, line, array_to_string(lines[greatest(i - 2, 0) + 1 : i + 3], '|') AS context, (start_line + greatest(i - 2, 0))::INT AS context_start_line FROM hits")
 def locate_context(spark: SparkSession, d: str) -> DataFrame:
-    return locate.locate(corpus(spark, d), NEEDLE, context=2).select("file_path", "line", F.array_join("context", "|").alias("context"), "context_start_line")
+    return locate.locate(corpus_rows(spark, d), NEEDLE, context=2).select("file_path", "line", F.array_join("context", "|").alias("context"), "context_start_line")
 
 
 @query("SELECT unnest(['tensorQueue', 'TensorQueue', 'tensor_queue', 'tensor-queue', 'TENSOR_QUEUE']) AS variant")
@@ -351,7 +351,7 @@ def file_coherence(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {CORPUS}, f AS (SELECT DISTINCT file_path FROM corpus) SELECT file_path, round({sql_penalty('file_path')}, 6) AS penalty FROM f")
 def path_penalty(spark: SparkSession, d: str) -> DataFrame:
-    return corpus(spark, d).select("file_path").distinct().select("file_path", F.round(paths.path_penalty(F.col("file_path")), 6).alias("penalty"))
+    return corpus_rows(spark, d).select("file_path").distinct().select("file_path", F.round(paths.path_penalty(F.col("file_path")), 6).alias("penalty"))
 
 
 SAMPLE_PATHS = ["src/auth.go", "tests/auth_test.go", "pkg/__init__.py", "legacy/compat/x.py", "docs_src/a.ts", "examples/b.rs", "types/index.d.ts", "test_helpers.rb", "a/FooTests.java", "spec/x_spec.rb", "src/app.test.tsx", "Dockerfile", "README.md", "conf/app.yaml", "x/y.H", "noext", "a.b/c.unknown", "lib/UserSpec.kt"]
@@ -393,7 +393,7 @@ def sql_keyword_share(p: str, query_: str) -> str:
 
 @query(f"WITH {CORPUS}, f AS (SELECT DISTINCT file_path FROM corpus) SELECT file_path, round({sql_keyword_share('file_path', KEYWORDS)}, 6) AS share FROM f")
 def stem_keyword_share(spark: SparkSession, d: str) -> DataFrame:
-    return corpus(spark, d).select("file_path").distinct().select("file_path", F.round(ranking.keyword_share(F.col("file_path"), KEYWORDS), 6).alias("share"))
+    return corpus_rows(spark, d).select("file_path").distinct().select("file_path", F.round(ranking.keyword_share(F.col("file_path"), KEYWORDS), 6).alias("share"))
 
 
 @query(f"WITH {_CANDIDATES}, b AS (SELECT *, {sql_keyword_share('file_path', KEYWORDS)} AS sh, (SELECT max(score) FROM cand) AS mx FROM cand) SELECT chunk_id, round(score + CASE WHEN sh >= 0.1 THEN sh * mx ELSE 0 END, 6) AS score FROM b")
@@ -538,15 +538,15 @@ def embedding_windows(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def structural_units(spark: SparkSession, d: str) -> DataFrame:
     """Structural chunks of every chunk's content, taken as a file of its language."""
-    files = corpus(spark, d).select(F.concat_ws("#", "file_path", "chunk_id").alias("file_path"), paths.language_of(F.col("file_path")).alias("language"), F.col("content").alias("text"))
-    return chunking.chunk_files(files).select("file_path", "pos", "start_line", "end_line", F.octet_length("content").alias("n_bytes"))
+    files = corpus_rows(spark, d).select(F.concat_ws("#", "file_path", "chunk_id").alias("file_path"), paths.language_of(F.col("file_path")).alias("language"), F.col("content").alias("text"))
+    return chunking.chunk_files(files).select("file_path", "pos", "start_line", "end_line", F.octet_length("content").alias("n_bytes")).distinct()
 
 
 @query()
 def tree_chunks(spark: SparkSession, d: str) -> DataFrame:
     """The same with the parser where it knows the language."""
-    files = corpus(spark, d).select(F.concat_ws("#", "file_path", "chunk_id").alias("file_path"), paths.language_of(F.col("file_path")).alias("language"), F.col("content").alias("text"))
-    return chunking.chunk_files(files, how="tree").select("file_path", "pos", "start_line", "end_line", F.octet_length("content").alias("n_bytes"))
+    files = corpus_rows(spark, d).select(F.concat_ws("#", "file_path", "chunk_id").alias("file_path"), paths.language_of(F.col("file_path")).alias("language"), F.col("content").alias("text"))
+    return chunking.chunk_files(files, how="tree").select("file_path", "pos", "start_line", "end_line", F.octet_length("content").alias("n_bytes")).distinct()
 
 
 @query()
@@ -566,7 +566,7 @@ _PLACES = "places AS (SELECT DISTINCT file_path, start_line + 3 AS line FROM cor
     SELECT p.file_path, p.line, m.chunk_id FROM places p LEFT JOIN m ON m.file_path = p.file_path AND m.line = p.line AND m.r = 1"""
 )
 def resolve_chunk(spark: SparkSession, d: str) -> DataFrame:
-    chunks = corpus(spark, d)
+    chunks = corpus_rows(spark, d).drop("content").distinct()
     return navigate.resolve_many(chunks, chunks.select("file_path", (F.col("start_line") + 3).alias("line")))
 
 
@@ -579,7 +579,7 @@ def _biggest(chunks: DataFrame) -> str:
 
 @query(f"WITH {CORPUS}, {_BIGGEST} SELECT chunk_id, start_line, end_line FROM corpus JOIN big USING (file_path)")
 def chunks_for_file(spark: SparkSession, d: str) -> DataFrame:
-    chunks = corpus(spark, d)
+    chunks = corpus_rows(spark, d).drop("content").distinct()
     return navigate.chunks_of_file(chunks, _biggest(chunks)).select("chunk_id", "start_line", "end_line")
 
 
@@ -589,7 +589,7 @@ def chunks_for_file(spark: SparkSession, d: str) -> DataFrame:
     SELECT chunk_id, start_line, r = a AS is_anchor FROM n, a WHERE r BETWEEN a - 1 AND a + 1"""
 )
 def expand_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    chunks = corpus(spark, d)
+    chunks = corpus_rows(spark, d).drop("content").distinct()
     path = _biggest(chunks)
     third = navigate.chunks_of_file(chunks, path).limit(3).orderBy(F.desc("start_line"), F.desc("chunk_id")).first()
     return navigate.expand(chunks, path, third["start_line"] + 1).select("chunk_id", "start_line", "is_anchor")
@@ -607,18 +607,18 @@ _SN = snippet.match_terms(QUESTION)
         (CASE WHEN f > 0 OR t < len(lines) - 1 THEN start_line + t ELSE end_line END)::INT AS end_line, md5(CASE WHEN f > 0 OR t < len(lines) - 1 THEN array_to_string(lines[f + 1 : t + 1], chr(10)) ELSE content END) AS content_md5 FROM b"""
 )
 def snippet_trim(spark: SparkSession, d: str) -> DataFrame:
-    return snippet.snippets(corpus(spark, d), QUESTION, 3).select("chunk_id", "anchor_line", "truncated", "start_line", "end_line", F.md5("content").alias("content_md5"))
+    return snippet.snippets(corpus_rows(spark, d), QUESTION, 3).select("chunk_id", "anchor_line", "truncated", "start_line", "end_line", F.md5("content").alias("content_md5")).distinct()
 
 
 @query(f"WITH {CORPUS} SELECT chunk_id, file_path || ':' || start_line || ':' || end_line AS key, file_path || ':' || start_line || '-' || end_line AS location FROM corpus")
 def chunk_keys(spark: SparkSession, d: str) -> DataFrame:
     p, a, b = F.col("file_path"), F.col("start_line"), F.col("end_line")
-    return corpus(spark, d).select("chunk_id", navigate.chunk_key(p, a, b).alias("key"), navigate.location(p, a, b).alias("location"))
+    return corpus_rows(spark, d).select("chunk_id", navigate.chunk_key(p, a, b).alias("key"), navigate.location(p, a, b).alias("location")).distinct()
 
 
 @query(f"WITH {CORPUS} SELECT chunk_id FROM corpus WHERE language IN ('go', 'python') AND starts_with(file_path, 'meridian-monorepo/')")
 def filter_selector(spark: SparkSession, d: str) -> DataFrame:
-    return corpus(spark, d).where(navigate.selection(["go", "python"], ["meridian-monorepo/"])).select("chunk_id")
+    return corpus_rows(spark, d).where(navigate.selection(["go", "python"], ["meridian-monorepo/"])).select("chunk_id").distinct()
 
 
 # --- sources --------------------------------------------------------------------------------------------------------
@@ -629,7 +629,7 @@ _CONT = "MAP {" + ", ".join(f"{q(e)}: {q(v)}" for e, v in paths.EXTENSION_CONTEN
 
 @query(f"WITH {CORPUS}, f AS (SELECT DISTINCT file_path FROM corpus UNION {_SAMPLE}) SELECT file_path, CASE WHEN lower(regexp_extract(file_path, '([^/]*)$', 1)) = 'dockerfile' THEN 'dockerfile' ELSE {_LANG}[{_EXT}] END AS language, {_CONT}[{_EXT}] AS content_type FROM f")
 def language_detect(spark: SparkSession, d: str) -> DataFrame:
-    rows = corpus(spark, d).select("file_path").union(spark.createDataFrame([(p,) for p in SAMPLE_PATHS], "file_path string")).distinct()
+    rows = corpus_rows(spark, d).select("file_path").union(spark.createDataFrame([(p,) for p in SAMPLE_PATHS], "file_path string")).distinct()
     return rows.select("file_path", paths.language_of(F.col("file_path")).alias("language"), paths.content_type_of(F.col("file_path")).alias("content_type"))
 
 
