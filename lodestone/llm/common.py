@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,6 +39,13 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
+@atexit.register
+def _tidy() -> None:
+    """Tables on a file system of this machine go with the process; elsewhere ``release`` removes them."""
+    for path in _WRITTEN:
+        shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back.
 

@@ -78,7 +78,12 @@ def signatures(chunks: DataFrame, key: str = "chunk_id", text: str = "content")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), COORDINATES)
+    """Signatures as a matrix, without a copy where they lie side by side."""
+    n, width = len(column), COORDINATES * 4
+    begin = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1]
+    if n and begin[-1] - begin[0] == n * width:
+        return np.frombuffer(column.buffers()[2], np.uint8)[begin[0] : begin[-1]].view(np.uint32).reshape(n, COORDINATES)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(n, COORDINATES)
 
 
 def _tokens(matrix: np.ndarray) -> np.ndarray:

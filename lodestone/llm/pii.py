@@ -66,21 +66,29 @@ _EN_MORE = rf"(?:,?{_S}(?:(?:Apt|Apartment|Suite|Ste|Unit|Flat|Floor|Fl|Room|Rm)
 _FR_WORDS = "rue|avenue|boulevard|chemin|place|allée|impasse|quai|route|cours|passage|square|sentier|ruelle|Rue|Avenue|Boulevard|Chemin|Place|Allée|Impasse|Quai|Route|Cours|Passage"
 _ES_WORDS = "Calle|C/|Avenida|Avda\\.?|Av\\.|Plaza|Pza\\.?|Paseo|Camino|Ronda|Travesía|Carretera|Glorieta"
 _NO_CAP = f"(?:{_CAP}(?:[\\-]{_CAP})*)"
-#: Pieces of text without which the pattern of the same position cannot match, in lower case.
-_ADDRESS_GATES = (
-    (" st", " road", " rd", " lane", " ln", " ave", " boulevard", " blvd", " dr", " c", " ter", " pl", " way", " sq", " row", " parkway", " pkwy", " highway", " hwy"),
-    (" rue", " avenue", " boulevard", " chemin", " place", " allée", " impasse", " quai", " route", " cours", " passage", " square", " sentier", " ruelle"),
-    ("calle", "c/", "avenida", "avda", "av.", "plaza", "pza", "paseo", "camino", "ronda", "travesía", "carretera", "glorieta"),
-    ("straße ", "strasse ", "str. ", "weg ", "gasse ", "allee ", "platz ", "ring ", "damm ", "ufer ", "steig ", "pfad ", "chaussee ", "stieg ", "hof ", "markt ", "graben ", "wall "),
-)
+_EN_NEAR = re.compile(rf"\d[A-Za-z]?{_S}[{_UP}]")
+_FR_NEAR = re.compile(rf"\d(?:{_S}?(?:bis|ter|quater|[A-D]))?,?{_S}(?:{_FR_WORDS}){_S}")
+_ES_NEAR = ("Calle", "C/", "Avenida", "Avda", "Av.", "Plaza", "Pza", "Paseo", "Camino", "Ronda", "Travesía", "Carretera", "Glorieta")
+_DE_ENDS = ("straße", "strasse", "str.", "weg", "gasse", "allee", "platz", "ring", "damm", "ufer", "steig", "pfad", "chaussee", "stieg", "hof", "markt", "graben", "wall")
+_DE_NEAR = re.compile(rf"[a-zß.]{_S}\d")
+
+
 _HOUSE_NUMBER = re.compile(r"\d")
+
+
+def _near_german(text: str) -> bool:
+    return any(text[max(0, m.start() - 11) : m.start() + 1].lower().endswith(_DE_ENDS) for m in _DE_NEAR.finditer(text))
+
+
+#: Cheap tests without which the pattern of the same position cannot match.
+_ADDRESS_TESTS = (_EN_NEAR.search, _FR_NEAR.search, lambda text: any(w in text for w in _ES_NEAR), _near_german)
 ADDRESSES = tuple(
-    (gates, re.compile(pattern))
-    for gates, pattern in zip(
-        _ADDRESS_GATES,
+    (test, re.compile(pattern))
+    for test, pattern in zip(
+        _ADDRESS_TESTS,
         (
-            rf"(?<![\w.#/\-])\d{{1,5}}[A-Za-z]?{_S}(?:(?:[NSEW]|NE|NW|SE|SW)\.?{_S}|(?:North|South|East|West){_S})?(?:{_NO_CAP}{_S}){{1,3}}(?:{_EN_TYPE})(?!\w){_EN_MORE}",
-            rf"(?<![\w.#/\-])\d{{1,4}}(?:{_S}?(?:bis|ter|quater|[A-D]))?,?{_S}(?:{_FR_WORDS})(?:{_S}(?:de|du|des|la|le|les|aux|au)\b|{_S}?(?:de{_S})?[dlDL]['’])*{_S}?{_NO_CAP}(?:{_S}{_NO_CAP}){{0,2}}",
+            rf"\d(?<![\w.#/\-]\d)\d{{0,4}}[A-Za-z]?{_S}(?:(?:[NSEW]|NE|NW|SE|SW)\.?{_S}|(?:North|South|East|West){_S})?(?:{_NO_CAP}{_S}){{1,3}}(?:{_EN_TYPE})(?!\w){_EN_MORE}",
+            rf"\d(?<![\w.#/\-]\d)\d{{0,3}}(?:{_S}?(?:bis|ter|quater|[A-D]))?,?{_S}(?:{_FR_WORDS})(?:{_S}(?:de|du|des|la|le|les|aux|au)\b|{_S}?(?:de{_S})?[dlDL]['’])*{_S}?{_NO_CAP}(?:{_S}{_NO_CAP}){{0,2}}",
             rf"(?<!\w)(?:{_ES_WORDS})(?:{_S}?(?:de|del|la|las|los|el)\b)*{_S}?{_NO_CAP}(?:{_S}(?:(?:de|del|la|las|los){_S})*{_NO_CAP}){{0,3}},?{_S}?(?:(?:nº|n\.º|n°|núm\.|num\.){_S}?)?\d{{1,4}}(?:{_S}?(?:bis|[A-D])\b)?(?:,{_S}?\d{{1,2}}[.ºª°]+{_S}?(?:[A-Z]\b|izq\.?|dcha\.?|izda\.?)?)?(?:,{_S}?(?:bajo|piso{_S}\d+|esc\.{_S}?\w|puerta{_S}\w+)\b)?",
 rf"(?<![\w\-])(?:[{_UP}]{_LETTER}*(?:-[{_UP}]{_LETTER}*)*-?(?:[sS]traße|[sS]trasse|[sS]tr\.|[wW]eg|[gG]asse|[aA]llee|[pP]latz|[rR]ing|damm|ufer|steig|pfad|chaussee|stieg|hof|markt|graben|wall)|{_NO_CAP}{_S}(?:Straße|Strasse|Str\.|Weg|Gasse|Allee|Platz|Ring|Damm|Ufer|Steig|Pfad|Chaussee)){_S}\d{{1,4}}(?:{_S}?[a-z]\b|{_S}?[\-–/]{_S}?\d{{1,4}}[a-z]?\b)?(?!\w)",
         ),
@@ -99,6 +107,7 @@ _ONE = f"(?:{_TURNED}|{_PLAIN}|{_INITIAL_FIRST})"
 _ONE_PLAIN = f"(?:{_PLAIN}|{_INITIAL_FIRST})"
 _END = f"(?!{_LETTER}|['’\\-]{_LETTER})"
 
+_LABEL_GATES = tuple(f"{w}{s}{c}" for w in ("author", "-by", "maintainer", "owner", "contact", "assignee", "name") for s in ("", " ") for c in ":=")
 #: What stands before a person's name and after it, behind pieces of text (in lower case) of which one must occur.
 _CONTEXTS = tuple(
     (gates, re.compile(f"{before}({name}){_END}{after}"))
@@ -119,7 +128,7 @@ _CONTEXTS = tuple(
         (("bitte ",), r"(?<!\w)[Bb]itte ", _ONE, r"(?= unter )"),
         (("llam",), r"(?<!\w)[Ll]lam(?:ad|en|ar|e) a ", _ONE, r"(?= al? )"),
         (("appelez ",), r"(?<!\w)[Aa]ppelez ", _ONE, r"(?= au )"),
-        (("author", "-by", "maintainer", "owner", "contact", "assignee", "name"), r"(?<!\w)(?:[Aa]uthor|[Ss]igned-off-by|[Rr]eviewed-by|[Cc]o-authored-by|[Rr]eported-by|[Aa]cked-by|[Tt]ested-by|[Mm]aintainer|[Oo]wner|[Cc]ontact|[Aa]ssignee|[Nn]ame) ?[:=] ?[\"']?", _ONE, ""),
+        (_LABEL_GATES, r"(?<!\w)(?:[Aa]uthor|[Ss]igned-off-by|[Rr]eviewed-by|[Cc]o-authored-by|[Rr]eported-by|[Aa]cked-by|[Tt]ested-by|[Mm]aintainer|[Oo]wner|[Cc]ontact|[Aa]ssignee|[Nn]ame) ?[:=] ?[\"']?", _ONE, ""),
         (("@author ",), r"@author ", _ONE, ""),
         (("user=",), r"(?<![\w\"'])user=", _ONE, r"(?=[;&])"),
         (("name=",), r"(?<!\w)name=", _ONE, r"(?=[&'\"])"),
@@ -156,7 +165,12 @@ _NOT_NAMES = frozenset(
 )
 
 
-_ID_GATES = ("social", "ssn", "tin", "tax", "passport", "id card", "identity", "national id", "dni", "nif", "nie", "segur", "pasaporte", "identidad", "nir", "sécurité", "fiscal", "identité", "passeport", "cni", "steuer", "sozial", "ausweis", "reisepass")
+#: Labels that only count as spelled here, and those in any spelling.
+_ID_EXACT = ("SSN", "ssn", "TIN", "DNI", "dni", "NIF", "nif", "NIE", "NIR", "CNI")
+_ID_GATES = ("social s", "social i", "tax i", "tax n", "passport", "id card", "identity card", "national id", "seguridad s", "pasaporte", "de identidad", "sécurité s", "fiscal", "identité", "passeport", "steuer", "sozialv", "ausweis", "reisepass")
+
+
+_CAPITALS = re.compile(f"[{_UP}]{{3}}(?:[{_UP}'’ ,.\\-])")
 
 
 class Finder:
@@ -167,7 +181,8 @@ class Finder:
 
     def __init__(self, given_names: Iterable[str] = ()):
         names = {n.strip() for n in given_names if n and n.strip()}
-        self._given = sorted(names | {n.upper() for n in names})
+        self._given = sorted(names)
+        self._capital = sorted({n.upper() for n in names})
         self._by_name: dict[str, tuple[re.Pattern, re.Pattern]] = {}
 
     def _around(self, name: str) -> tuple[re.Pattern, re.Pattern]:
@@ -193,15 +208,15 @@ class Finder:
         if "-- " in text:
             for m in _SIGNATURE.finditer(text):
                 yield m.span(1)
-        if "[" in text:
+        if "ers = [" in text or "ors = [" in text or "ers: [" in text or "ors: [" in text or "ers=[" in text or "ors=[" in text:
             for m in _LISTS[0].finditer(text):
                 for q in _QUOTED.finditer(text, *m.span(1)):
                     yield q.span(1)
-        if "cc" in low:
+        if "cc " in low or "cc: " in low:
             for m in _LISTS[1].finditer(text):
                 for q in _IN_LIST.finditer(text, *m.span(1)):
                     yield q.span(1)
-        for name in self._given:
+        for name in self._given + self._capital if _CAPITALS.search(text) else self._given:
             if name in text:
                 plain, turned = self._around(name)
                 for m in plain.finditer(text):
@@ -223,11 +238,11 @@ class Finder:
         spans: list[tuple[int, int, int, str]] = []
         if "@" in low or "at)" in low or "at]" in low or "at}" in low or "%40" in low or "&#64" in low or "ät" in low or "(a)" in low:
             spans += [(a, b, 0, "email") for a, b in self.emails(text)]
-        if any(g in low for g in _ID_GATES):
+        if any(g in text for g in _ID_EXACT) or any(g in low for g in _ID_GATES):
             spans += [(*m.span(1), 1, "id_number") for m in ID_NUMBER.finditer(text)]
         if _HOUSE_NUMBER.search(text):
-            for gates, pattern in ADDRESSES:
-                if any(g in low for g in gates):
+            for test, pattern in ADDRESSES:
+                if test(text):
                     spans += [(*m.span(), 2, "address") for m in pattern.finditer(text)]
             for run in _NUMBER_RUN.finditer(text):
                 for m in PHONE.finditer(text, run.start(), min(len(text), run.end() + 3)):

@@ -37,7 +37,7 @@ MINIFIED_NOTICE = re.compile(r"^/\*!|sourceMappingURL=", re.I)
 OWNER_NOTICE = re.compile(r"copyright (?:\(c\) )?(?:\d{4} )?the ([\w.-]+) (?:contributors|authors)", re.I)
 
 #: Path parts that say the same.
-VENDORED_PATH = r"(?:^|/)(?:vendor|third_party|third-party|thirdparty|extern|external|deps|bower_components|node_modules|_vendor|Pods|site-packages)/"
+VENDORED_PATH = r"(?:^|/)(?:vendor|third_party|third-party|thirdparty|extern|external|deps|bower_components|jspm_packages|node_modules|_vendor|Godeps|Carthage|Pods|site-packages)/"
 GENERATED_PATH = r"(?:^|/)(?:gen|generated|__generated__|autogen)/|(?:^|/)zz_generated[_.]|_pb2(?:_grpc)?\.\w+$|_grpc\.\w+$|\.pb\.\w+$|\.(?:generated|g|designer|gen)\.\w+$"
 MINIFIED_PATH = r"[.-]min\.\w+$"
 
