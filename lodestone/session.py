@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -17,13 +19,15 @@ def ship(spark: SparkSession) -> SparkSession:
     if sc.applicationId in _SHIPPED:
         return spark
     root = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="lodestone-ship-"), "lodestone_package.zip")
+    folder = tempfile.mkdtemp(prefix="lodestone-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "lodestone_package.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, dirs, files in os.walk(root):
+        for place, dirs, files in os.walk(root):
             dirs[:] = sorted(d for d in dirs if d != "__pycache__")
             for name in sorted(files):
                 if name.endswith(".py"):
-                    full = os.path.join(folder, name)
+                    full = os.path.join(place, name)
                     z.write(full, os.path.join("lodestone", os.path.relpath(full, root)))
     sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)
