@@ -50,7 +50,7 @@ def test_pairs_against_brute_force(spark):
     assert got <= want and len(want - got) <= 0.01 * len(want)
 
 
-@pytest.mark.parametrize("limit", [2, 5])
+@pytest.mark.parametrize("limit", [4, 8])
 def test_long_lists_are_posted_again_not_cut(spark, monkeypatch, limit):
     """Tiny lists force several rounds; the result stays whole."""
     rows = corpus(2, 12)
