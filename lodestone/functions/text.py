@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import string
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,18 +12,26 @@ from pyspark.sql import functions as F
 IDENTIFIER = "[a-zA-Z_][a-zA-Z0-9_]*"
 #: Runs of one identifier: an acronym before a word, a word, an acronym, digits.
 CASE_RUNS = "[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
+LOWER = string.ascii_lowercase
 WORD_WITH_DASH = "[a-zA-Z_][a-zA-Z0-9_-]*"
 #: Words that carry no meaning in a query.
 STOPWORDS = frozenset("a an and are as at be by do does for from has have how if in is it not of on or the to was what when where which who why with".split())
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, also where ``body`` uses it several times or inside lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def identifier_parts(token: Column) -> Column:
     """The lower-cased identifier, followed by its parts if it has two or more."""
     whole = F.lower(token)
     by_underscore = F.filter(F.split(whole, "_"), lambda p: p != "")
     by_case = F.transform(F.regexp_extract_all(token, F.lit(CASE_RUNS), F.lit(0)), lambda p: F.lower(p))
     parts = F.when(F.contains(token, F.lit("_")), by_underscore).otherwise(by_case)
-    return F.when(F.size(parts) >= 2, F.concat(F.array(whole), parts)).otherwise(F.array(whole))
+    # an identifier of small letters only is its own single part
+    cut = bound(parts, lambda p: F.when(F.size(p) >= 2, F.concat(F.array(whole), p)).otherwise(F.array(whole)))
+    return F.when(F.translate(token, LOWER, "") == "", F.array(token)).otherwise(cut)
 
 
 def tokens(text: Column) -> Column:

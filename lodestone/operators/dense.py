@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW_CHARS, OVERLAP_CHARS, LEAST_STEP = 1300, 120, 64
-
+from lodestone.functions.text import bound
 
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once per row, also where lambdas inside use it."""
-    return F.transform(F.array(value), body)[0]
+WINDOW_CHARS, OVERLAP_CHARS, LEAST_STEP = 1300, 120, 64
 
 
 def quantize(vector: Column) -> Column:

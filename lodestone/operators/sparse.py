@@ -78,14 +78,18 @@ def scan_scores(chunks: DataFrame, query: str, enrich: bool = True, selected: Co
     if not terms:
         return chunks.select("chunk_id", F.lit(0.0).alias("score")).where(F.lit(False))
     text = enriched(F.col("content"), F.col("file_path")) if enrich else F.col("content")
-    rows = chunks.select("chunk_id", (F.lit(True) if selected is None else F.coalesce(selected, F.lit(False))).alias("sel"), tokens(text).alias("t"))
-    each = rows.select("chunk_id", "sel", F.size("t").alias("dl"), *[F.size(F.filter("t", _is(w))).alias(f"tf{i}") for i, w in enumerate(terms)])
+    chosen = [] if selected is None else [F.coalesce(selected, F.lit(False)).alias("sel")]
+    rows = chunks.select("chunk_id", *chosen, tokens(text).alias("t"))
+    each = rows.select("chunk_id", *[c for c in rows.columns if c == "sel"], F.size("t").alias("dl"), *[F.size(F.filter("t", _is(w))).alias(f"tf{i}") for i, w in enumerate(terms)])
     counted = each.groupBy("chunk_id").agg(*[F.max(c).alias(c) for c in each.columns[1:]])
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))])
+    # both branches read the same columns of the exchanged counts, so it is made once
+    n_selected = F.count(F.when(F.col("sel"), 1) if chosen else F.lit(1))
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), n_selected.alias("n_sel"), F.avg("dl").alias("avg"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))])
     score = sum((F.when(F.col(f"tf{i}") > 0, _weight(F.col(f"tf{i}"), F.col("dl"), F.col("avg"), _idf(F.col("n"), F.col(f"df{i}")))).otherwise(0.0) for i in range(len(terms))), F.lit(0.0))
     hit = sum((F.col(f"tf{i}") for i in range(len(terms))), F.lit(0)) > 0
     # the statistics are one row
-    return counted.where(hit & F.col("sel")).crossJoin(F.broadcast(stats)).select("chunk_id", score.alias("score")).where("score > 0")
+    kept = counted.where(hit & F.col("sel")) if chosen else counted.where(hit)
+    return kept.crossJoin(F.broadcast(stats)).where("n_sel > 0").select("chunk_id", score.alias("score")).where("score > 0")
 
 
 def index_scores(postings: DataFrame, lengths: DataFrame, query: str, selected: DataFrame | None = None) -> DataFrame:

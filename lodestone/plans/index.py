@@ -27,6 +27,7 @@ class Index:
     def __init__(self, chunks: DataFrame, postings: DataFrame, lengths: DataFrame, vectors: DataFrame, files: DataFrame, embedder: Embedder, content: Sequence[str] = scan.DEFAULT_CONTENT, root: str | None = None, from_disk: bool = False):
         self.chunks, self.postings, self.lengths, self.vectors, self.files = chunks, postings, lengths, vectors, files
         self.embedder, self.content, self.root, self.from_disk = embedder, tuple(content), root, from_disk
+        self.stored = from_disk  # whether the postings exist or would have to be made
         self.spark = chunks.sparkSession
 
     # --- building -----------------------------------------------------------------------------------------
@@ -77,6 +78,13 @@ class Index:
         if force or not self.from_disk:
             self.save(bundle.bundle_path(source))
 
+    def cached(self) -> Index:
+        """Keep the tables with the session; partitions of a lost executor are computed again."""
+        for t in bundle.TABLES:
+            getattr(self, t).persist()
+        self.stored = True
+        return self
+
     def close(self) -> None:
         for t in bundle.TABLES:
             getattr(self, t).unpersist()
@@ -101,7 +109,12 @@ class Index:
         return None if test is None else self.chunks.where(test).select("chunk_id")
 
     def keyword(self, query: str, k: int, languages: Sequence[str] = (), paths: Sequence[str] = ()) -> DataFrame:
-        return sparse.top_k(sparse.index_scores(self.postings, self.lengths, query, self._selected(languages, paths)), k)
+        """By the postings where they are stored, else by one pass over the chunks; both give the same scores."""
+        if self.stored:
+            scores = sparse.index_scores(self.postings, self.lengths, query, self._selected(languages, paths))
+        else:
+            scores = sparse.scan_scores(self.chunks, query, selected=navigate.selection(languages, paths))
+        return sparse.top_k(scores, k)
 
     def semantic(self, query: str, k: int, languages: Sequence[str] = (), paths: Sequence[str] = ()) -> DataFrame:
         rows, chosen = self.vectors, self._selected(languages, paths)

@@ -64,7 +64,7 @@ class Server:
 
     def _index(self, args: dict) -> Index:
         repo = text_of(args, "repo")
-        return self.cache.get(repo, lambda: Index.from_source(self.spark, repo, workspace=self.workspace))
+        return self.cache.get(repo, lambda: Index.from_source(self.spark, repo, workspace=self.workspace).cached())
 
     def _search(self, args: dict) -> str:
         query, index = text_of(args, "query"), self._index(args)

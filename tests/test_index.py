@@ -76,6 +76,9 @@ def test_repeated_searches_agree(spark, folder):
     index = Index.from_path(spark, folder)
     a, b = ([tuple(r) for r in index.search("session open login").collect()] for _ in range(2))
     assert a == b and a
+    stored = index.cached()
+    assert [tuple(r) for r in stored.search("session open login").collect()] == a
+    index.close()
 
 
 def test_bundle(spark, folder, tmp_path, monkeypatch):
