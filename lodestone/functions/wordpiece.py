@@ -7,6 +7,7 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
@@ -18,6 +19,7 @@ REMEMBERED_WORDS = 400_000
 IDEOGRAPHS = ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B820, 0x2CEAF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F))
 
 
+@lru_cache(maxsize=4)
 def category_class(*prefixes: str) -> str:
     """A regular-expression class body of all characters whose Unicode category starts so."""
     ranges: list[list[int]] = []

@@ -336,7 +336,7 @@ _COHERED = f"""{_CANDIDATES}, su AS (SELECT *, sum(score) OVER (PARTITION BY fil
 
 
 def sql_penalty(p: str) -> str:
-    return " * ".join(f"(CASE WHEN regexp_matches({p}, {q(pattern)}) THEN {factor} ELSE 1.0 END)" for pattern, factor in paths.PENALTIES)
+    return " * ".join(f"(CASE WHEN regexp_matches({p}, {q(pattern)}) THEN {factor}::DOUBLE ELSE 1::DOUBLE END)" for pattern, factor in paths.PENALTIES)
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
