@@ -118,7 +118,18 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
+    # lower-casing with the ligatures and the sharp s that case folding opens
+    folded = "lower(text)"
+    for a, b in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("ß", "ss")):
+        folded = f"replace({folded}, '{a}', '{b}')"
+    words = f"regexp_extract_all({folded}, '[\\p{{L}}\\p{{N}}]+')"
+    grams = "unnest(list_transform(range(1, greatest(len(w) - 10, 1)), lambda i: array_to_string(w[i:i + 11], ' ')))"
     return {
+        "p6_found": f"""
+            WITH i AS (SELECT DISTINCT item_id, {grams} AS g FROM (SELECT item_id, {words} AS w FROM eval_items)),
+                 d AS (SELECT doc_id, {grams} AS g FROM (SELECT doc_id, {words} AS w FROM documents))
+            SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)
+        """,
         # lines of an oversized chunk: \r\n, \r and \n end a line and count with it
         "p2_found": r"""
             WITH big AS (SELECT DISTINCT chunk_id, content FROM chunks WHERE strlen(content) > 1500),
