@@ -471,6 +471,89 @@ def installer_penalty(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ranking.penalize_installer(scored, "where is the entry point").select("chunk_id", "score"), "score")
 
 
+# --- the same boosts over the tables: what is asked for is taken from the candidates, as names and stems differ between tables ---
+_NEW_NAME = r"(?m)(?:^|\s)(?:class|interface|struct|enum|trait|type|func|function|def|fn)\s+((?:[A-Z][a-z]|[a-z])[a-z]*[A-Z][A-Za-z0-9]+)(?:\s|[<({:\[;]|$)"
+_STEM_WORD = "^[a-zA-Z_][a-zA-Z0-9_-]{2,}$"
+_PLACE = "where is the entry point"
+
+
+def sql_defined(rows: str) -> str:
+    """CTEs up to ``sym(name)``: the name most often defined in ``rows``."""
+    return f"""names AS (SELECT unnest(regexp_extract_all(content, {q(_NEW_NAME)}, 1)) AS name FROM {rows}),
+        sym AS (SELECT coalesce((SELECT name FROM names GROUP BY name ORDER BY count(*) DESC, name LIMIT 1), {q(SYMBOL)}) AS name)"""
+
+
+_TOP100 = f"{_CANDIDATES}, mx AS (SELECT coalesce(max(score), 0) AS mx FROM cand)"
+_ASKED = f"{_TOP100}, held AS (SELECT corpus.* FROM corpus JOIN cand USING (chunk_id)), {sql_defined('held')}"
+_DEFINES_NAME = _DEFINES.replace("SessionManager", "' || name || '")
+_NAMED_SO = f"({_FLAT} = lower(name) OR regexp_replace({_FLAT}, 's$', '') = lower(name))"
+_BEGINS = f"(len({_FLAT}) >= 4 AND starts_with(lower(name), {_FLAT}) OR {_FLAT} = lower(name))"
+
+
+def _defined(rows: DataFrame) -> str:
+    names = rows.select(F.explode(F.regexp_extract_all("content", F.lit(_NEW_NAME), F.lit(1))).alias("name"))
+    first = names.groupBy("name").count().orderBy(F.desc("count"), "name").first()
+    return first["name"] if first else SYMBOL
+
+
+def _held(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, float]:
+    """All chunks, the candidates among them (a hundred rows, read once) and the best score."""
+    rows = _candidates(spark, d)
+    scored = spark.createDataFrame(rows.collect(), rows.schema)
+    return corpus(spark, d).select("chunk_id", "file_path", "content"), scored, ranking.largest(scored)
+
+
+@query(
+    f"""WITH {_ASKED}, t AS (SELECT chunk_id, mx, CASE WHEN {_DEFINES_NAME} THEN CASE WHEN {_NAMED_SO} THEN 4.5 ELSE 3.0 END ELSE 0 END AS tier, {_NAMED_SO} AS named FROM corpus, sym, mx)
+    SELECT chunk_id, round(coalesce(cand.score, 0) + tier::DOUBLE * mx, 6) AS score FROM t LEFT JOIN cand USING (chunk_id) WHERE cand.score IS NOT NULL OR (named AND tier * mx <> 0)"""
+)
+def symbol_definition_boost_tables(spark: SparkSession, d: str) -> DataFrame:
+    chunks, scored, best = _held(spark, d)
+    return rounded(ranking.boost_symbol_definitions(scored, chunks, _defined(scored), best).select("chunk_id", "score"), "score")
+
+
+@query(
+    f"""WITH {_ASKED}, t AS (SELECT chunk_id, mx, CASE WHEN {_DEFINES_NAME} THEN CASE WHEN {_NAMED_SO} THEN 2.25 ELSE 1.5 END ELSE 0 END AS tier, {_BEGINS} AS near FROM corpus, sym, mx)
+    SELECT chunk_id, round(coalesce(cand.score, 0) + tier::DOUBLE * mx, 6) AS score FROM t LEFT JOIN cand USING (chunk_id) WHERE cand.score IS NOT NULL OR (near AND tier * mx <> 0)"""
+)
+def embedded_symbol_boost_tables(spark: SparkSession, d: str) -> DataFrame:
+    chunks, scored, best = _held(spark, d)
+    return rounded(ranking.boost_embedded_symbols(scored, chunks, f"who calls {_defined(scored)} first", best).select("chunk_id", "score"), "score")
+
+
+_HINTS = ", ".join(map(q, sorted(ranking.IMPLEMENTATION_STEMS)))
+_GENERIC = ", ".join(map(q, sorted(ranking.GENERIC_STEMS)))
+_LOWER_STEM = f"lower({sql_stem('file_path')})"
+
+
+@query(
+    f"""WITH {_TOP100}, s AS (SELECT chunk_id, score, {_LOWER_STEM} AS s FROM cand),
+    w AS (SELECT (SELECT s FROM s WHERE regexp_matches(s, {q(_STEM_WORD)}) AND s NOT IN ({_GENERIC}) ORDER BY round(score, 9) DESC, chunk_id LIMIT 1) AS w),
+    p AS (SELECT count(*) > 0 AS prefer FROM s, w WHERE s IN ({_HINTS}) AND contains(w, s))
+    SELECT chunk_id, round(score + CASE WHEN translate(s, '-_', '') = translate(w, '-_', '') AND NOT (s = w AND prefer AND w NOT IN ({_HINTS})) THEN 0.75 * mx ELSE 0 END, 6)::DOUBLE AS score FROM s, w, p, mx"""
+)
+def exact_stem_boost_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The stem of the best candidate whose stem is a word; ``main`` is too generic to count."""
+    _, scored, best = _held(spark, d)
+    rows = scored.withColumn("s", F.lower(paths.stem(F.col("file_path")))).where(F.col("s").rlike(_STEM_WORD) & ~F.col("s").isin(sorted(ranking.GENERIC_STEMS)))
+    first = rows.orderBy(F.round("score", 9).desc(), "chunk_id").first()
+    return rounded(ranking.boost_exact_stems(scored, f"{first['s'] if first else ''} main", best).select("chunk_id", "score"), "score")
+
+
+@query(
+    f"""WITH {_TOP100}, g AS (SELECT chunk_id, mx, CASE WHEN regexp_matches(content, {q(ranking.PACKAGE_ENTRY)}) OR regexp_matches(content, {q(ranking.ENTRY_CODE)}) THEN 2.5 ELSE 0 END AS gain FROM corpus, mx)
+    SELECT chunk_id, round(coalesce(cand.score, 0) + gain::DOUBLE * mx, 6) AS score FROM g LEFT JOIN cand USING (chunk_id) WHERE cand.score IS NOT NULL OR gain * mx <> 0"""
+)
+def location_boost_tables(spark: SparkSession, d: str) -> DataFrame:
+    chunks, scored, best = _held(spark, d)
+    return rounded(ranking.boost_locations(scored, chunks, _PLACE, best).select("chunk_id", "score"), "score")
+
+
+@query(f"WITH {_CANDIDATES} SELECT chunk_id, round(score * CASE WHEN regexp_matches(replace(file_path, chr(92), '/'), {q(ranking.INSTALLER_PATH)}) THEN 0.35 ELSE 1 END, 6)::DOUBLE AS score FROM cand")
+def installer_penalty_tables(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ranking.penalize_installer(_candidates(spark, d), _PLACE).select("chunk_id", "score"), "score")
+
+
 @query()
 def hybrid_reranked(spark: SparkSession, d: str) -> DataFrame:
     """The whole search over the chunks and their int8 vectors through an index."""
@@ -486,6 +569,15 @@ def hybrid_filtered(spark: SparkSession, d: str) -> DataFrame:
     return rounded(index.search(SYMBOL, 10, languages=["go"]).select("chunk_id", "file_path", "language", "score"), "score")
 
 
+@query()
+def hybrid_filtered_defined(spark: SparkSession, d: str) -> DataFrame:
+    """The same for the symbol most often defined in the chunks of a language."""
+    chunks = corpus(spark, d)
+    index = Index.from_chunks(chunks, vectors=int8_vectors(spark, d), embedder=_FixedQuery())
+    symbol = _defined(corpus_rows(spark, d).where(navigate.selection(["typescript"])).select("chunk_id", "content").distinct())
+    return rounded(index.search(symbol, 10, languages=["typescript"]).select("chunk_id", "file_path", "language", "score"), "score")
+
+
 class _FixedQuery(HashEmbedder):
     """A query embedder of the width of the stored vectors."""
 

@@ -24,3 +24,20 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+BOOSTS = ("symbol_definition_boost_tables", "embedded_symbol_boost_tables", "exact_stem_boost_tables")
+
+
+@pytest.mark.parametrize("name", BOOSTS)
+def test_boosts_read_the_tables(spark, name):
+    plain = {r["chunk_id"]: r["score"] for r in core.rounded(core._candidates(spark, oracle.DATA), "score").collect()}
+    boosted = {r["chunk_id"]: r["score"] for r in core.queries()[name](spark, oracle.DATA).collect()}
+    assert set(plain) <= set(boosted) and any(boosted[i] > plain[i] for i in plain)
+
+
+def test_filtered_search_finds_a_definition(spark):
+    rows = core.queries()["hybrid_filtered_defined"](spark, oracle.DATA).select("chunk_id")
+    chunks = core.corpus(spark, oracle.DATA)
+    symbol = core._defined(chunks.where(core.navigate.selection(["typescript"])))
+    assert rows.join(chunks, "chunk_id").where(core.ranking.defines(core.F.col("content"), [symbol])).count() > 0
