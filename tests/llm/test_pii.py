@@ -98,3 +98,44 @@ def test_redaction(spark):
     assert P.redacted(df, key="other").where("doc_id = 1").first()["text"] != out[1]["text"]
     assert {tuple(r) for r in P.findings(P.redacted(df)).collect()} == {(1, "id_number", "989 29 2280"), (2, "id_number", "989 29 2280"), (6, "id_number", "989 29 2281"), (6, "email", "a@b.example")}
     assert P.redacted(df.limit(0)).count() == 0
+
+
+EVERYTHING = P.Finder(["Maren", "Ruby", "Amber", "Jürgen", "Íñigo", "Jo"], tests=False)
+TESTED = P.Finder(["Maren", "Ruby", "Amber", "Jürgen", "Íñigo", "Jo"])
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("nie: X1234567L", ("id_number", "X1234567L")),
+        ("tin=12345678", ("id_number", "12345678")),
+        ("nir: 1 73 04 25 366 923 28", ("id_number", "1 73 04 25 366 923 28")),
+        ("cni: 123456789", ("id_number", "123456789")),
+        ("Dni 71.075.667-D", ("id_number", "71.075.667-D")),
+        ("Ssn 989 29 2280", ("id_number", "989 29 2280")),
+        ("ſsn 989 29 2280", ("id_number", "989 29 2280")),
+        ("authors:['Tessa Vance']", ("name", "Tessa Vance")),
+        ("authors =['Tessa Vance']", ("name", "Tessa Vance")),
+        ("ask ole [a] post.example now", ("email", "ole [a] post.example")),
+        ("ask ole {a} post.example now", ("email", "ole {a} post.example")),
+        ("|Tessa Vance|t@a.example|", ("name", "Tessa Vance")),
+        ("<owner>Tessa Vance<br>", ("name", "Tessa Vance")),
+        ("--\tTessa Vance", ("name", "Tessa Vance")),
+        ("12 rueVictor", ("address", "12 rueVictor")),
+        ("by JO Vance today", ("name", "JO Vance")),
+        ("by Vance, Maren today", ("name", "Vance, Maren")),
+    ],
+)
+def test_tests_lose_nothing(text, want):
+    assert want in {(k, text[a:b]) for a, b, k in TESTED.find(text)}
+    assert TESTED.find(text) == EVERYTHING.find(text)
+
+
+PIECES = ["nie", "SSN", "Tin", "dni", "tax ID", "passport", ": ", "=", " ", "\t", "X1234567L", "989 29 2280", "authors", "owners", " =[", ":[", "]", "'Tessa Vance'", "Tessa Vance", "JO Vance", "Vance, Maren", "ole", "[a]", "(at)", "{at]", "@", "post.example", "|", "<owner>", "<", "--", "--\t", "12", "rue", "Victor", "Calle Mayor 3", "Parkweg 7", "+1 334 555 0122", "030/23125-908", "\n", ", ", "cc", " by ", "Reported"]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=14).map("".join))
+def test_findings_are_equal_with_and_without_tests(text):
+    assert TESTED.find(text) == EVERYTHING.find(text)
+    assert TESTED.find(text.lower()) == EVERYTHING.find(text.lower())
