@@ -153,7 +153,7 @@ _FOLLOWED = tuple(
         (("@", "(at", "[at"), r" ?[<(](?=(?:mailto:)?[\w.+\-]+(?:@| ?[(\[]at))", _ONE),
     )
 )
-_LISTS = (re.compile(r"(?<!\w)(?:maintainers|authors|owners|reviewers) ?[=:] ?\[([^\]\n]{4,400})\]"), re.compile(rf"(?<!\w)cc:? ({_ONE_PLAIN}(?:, {_ONE_PLAIN}){{1,9}}){_END}"))
+_LISTS = (re.compile(r"(?<!\w)(?:maintainers|authors|owners|reviewers) ?[=:] ?\[([^\]]{4,})\]"), re.compile(rf"(?<!\w)cc:? ({_ONE_PLAIN}(?:, {_ONE_PLAIN})+){_END}"))
 _QUOTED = re.compile(f"[\"']({_ONE})[\"']")
 _IN_LIST = re.compile(f"({_ONE_PLAIN}){_END}")
 _SIGNATURE = re.compile(f"(?:^|(?<=[.!?:;] )|(?<=\\n))[^\\S\\n]*(?:[/#*>|\\-]+{_S})?--{_S}({_ONE}){_END}(?=\\s*$|\\s*\\n|{_S}[{_UP}])", re.M)

@@ -139,3 +139,24 @@ PIECES = ["nie", "SSN", "Tin", "dni", "tax ID", "passport", ": ", "=", " ", "\t"
 def test_findings_are_equal_with_and_without_tests(text):
     assert TESTED.find(text) == EVERYTHING.find(text)
     assert TESTED.find(text.lower()) == EVERYTHING.find(text.lower())
+
+
+GIVEN = ["Tessa", "Wren", "Oda", "Saffron", "Ole"]
+PEOPLE = [f"{g} {f}{e}" for e in ("berg", "mere", "holt", "vik", "dahl") for f in ("Vance", "Quill", "Brandt", "Kestrel") for g in GIVEN]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "cc " + ", ".join(PEOPLE) + ".",
+        "maintainers = [" + ", ".join(f'"{p}"' for p in PEOPLE) + "]",
+        "owners: [\n" + ",\n".join(f"  '{p}'" for p in PEOPLE) + "\n]\n",
+    ],
+)
+def test_lists_are_read_to_their_end(text):
+    assert found(text) == {("name", p) for p in PEOPLE}
+
+
+def test_long_lists_take_linear_time():
+    text = "cc " + ", ".join(PEOPLE * 40) + "; maintainers = [\n" + ",\n".join(f'"{p}"' for p in PEOPLE * 40) + "\n]"
+    assert len(FINDER.find(text)) == 80 * len(PEOPLE)
