@@ -54,27 +54,34 @@ RATIOS = ["compression", "entropy_mean", "name_length", "short_share", "comment_
 
 def _measured(text: str, owner: str) -> list:
     """Sums over one chunk without its notices, its longest line, and what the notices say."""
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
     notice, own, kept, at, comment = 0, 0, [], 0, 0
     for m in _COMMENT.finditer(text):
         line = m[0]
         kept.append(text[at : m.start()])
         at = m.end()
-        hidden = False
-        if len(line) < 400 or line.lstrip().startswith("/*!"):
-            bare = line.strip()
-            if GENERATED_NOTICE.search(bare):
-                notice, hidden = notice | 1, True
-            elif COPIED_NOTICE.search(bare):
-                notice, hidden = notice | 2, True
-            elif MINIFIED_NOTICE.search(bare):
-                notice, hidden = notice | 4, True
-            elif who := OWNER_NOTICE.search(bare):
-                hidden = True
-                if who[1].lower() == owner:
-                    own = 1
-                else:
-                    notice |= 8
-        if not hidden:
+        hidden, bare, end = False, line.strip(), len(line)
+        if len(line) >= 400 and not bare.startswith("/*!"):  # up to the comment's end; code may stand behind it
+            closing = "*/" if bare.startswith(("/*", "*")) else "-->" if bare.startswith("<!--") else None
+            if closing and closing in line:
+                end = line.index(closing) + len(closing)
+            bare = line[:end].strip()
+        if GENERATED_NOTICE.search(bare):
+            notice, hidden = notice | 1, True
+        elif COPIED_NOTICE.search(bare):
+            notice, hidden = notice | 2, True
+        elif MINIFIED_NOTICE.search(bare):
+            notice, hidden = notice | 4, True
+        elif who := OWNER_NOTICE.search(bare):
+            hidden = True
+            if who[1].lower() == owner:
+                own = 1
+            else:
+                notice |= 8
+        if hidden:
+            kept.append(line[end:])
+        else:
             comment += len(line)
             if len(line) > 400:  # code behind a comment's opening on one line
                 kept.append(line)

@@ -75,3 +75,23 @@ def test_a_notice_in_any_chunk_and_repeated_rows(spark):
     assert got["src/a.py"]["machine_made"] and not got["src/b.py"]["machine_made"]
     assert P.machine_made(df.limit(0)).count() == 0
     assert P.file_measures(df.where("chunk_id = 1")).collect() == P.file_measures(df.where("chunk_id = 1").distinct()).collect()
+
+
+def test_notices_in_any_line():
+    code = "a = 1\rb = 2\r"
+    body = "f(x);" * 100
+    generated = P._measured("// Code generated by tool. DO NOT EDIT.", "r")[-2]
+    assert generated == 1
+    assert P._measured("# one\r" + code + "# Code generated by tool. DO NOT EDIT.\r" + code, "r")[-2] == generated
+    assert P._measured("a = 1\r# Code generated by tool. DO NOT EDIT.\r" + code, "r")[-2] == generated
+    assert P._measured("// " + "- " * 300 + "Code generated by tool. DO NOT EDIT.\n", "r")[-2] == P._measured("// " + "- " * 30 + "Code generated by tool. DO NOT EDIT.\n", "r")[-2]
+    behind = P._measured("/* Code generated by tool. DO NOT EDIT. */" + body, "r")
+    assert behind[-2] == generated and behind[0] == len(body)
+    assert P._measured("// a --> b */ " + "- " * 300 + "Code generated by tool. DO NOT EDIT.\n", "r")[-2] == 1
+    # what stands behind a comment is code and no notice
+    assert P._measured("/* one */" + body + "'// Code generated by tool. DO NOT EDIT.'", "r")[-2] == 0
+
+
+def test_line_ends_do_not_count():
+    text = "# Copyright the r contributors.\na = 1\n# why\nb = 2\n"
+    assert P._measured(text, "r") == P._measured(text.replace("\n", "\r"), "r") == P._measured(text.replace("\n", "\r\n"), "r")
