@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import bound
@@ -114,3 +114,53 @@ def mean_pool(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
 def as_score(distances: DataFrame) -> DataFrame:
     """Distance to score; negative scores are kept."""
     return distances.select("chunk_id", (1 - F.col("distance")).alias("score"))
+
+
+#: Queries that are held against all rows at a time.
+QUERY_BLOCK = 4096
+
+
+def nearest_of_many(vectors: DataFrame, every: int, k: int, related: bool = False) -> DataFrame:
+    """``(query_id, chunk_id, distance)``: the ``k`` nearest rows of ``(chunk_id, codes, scale)`` to each row whose id is divisible by ``every``.
+
+    Every row is compared with every query, by blocks of queries in one pass over
+    the rows each. float32 products of int8 codes are exact up to 1,040 codes. A task
+    only leaves out rows that are farther than ``k`` it has seen. ``related``
+    takes queries with a ``language`` and rows of the same, without the query itself.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    rows = vectors.select("chunk_id", "codes", F.col("scale").cast("double").alias("scale"), F.col("language") if related else F.lit("").alias("language"))
+    asked = rows.where((F.col("chunk_id") % every == 0) & F.col("language").isNotNull())
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    out = None
+    for b in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)) == b).collect()  # about QUERY_BLOCK rows
+        ids = np.array([r["chunk_id"] for r in block], np.int64)
+        codes = np.array([r["codes"] for r in block], np.float32).reshape(len(block), -1)
+        scales = np.array([r["scale"] for r in block], np.float64)
+        languages = np.array([r["language"] for r in block], object)
+        held = vectors.sparkSession.sparkContext.broadcast((ids, codes, scales, languages))
+
+        def run(batches, held=held):
+            ids, codes, scales, languages = held.value
+            best = np.full((len(ids), k), np.inf)
+            for whole in batches:
+                for at in range(0, whole.num_rows if len(ids) else 0, 1024):
+                    batch = whole.slice(at, 1024)
+                    mine = batch.column(0).to_numpy(zero_copy_only=False)
+                    matrix = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(mine), -1).astype(np.float32)
+                    far = 1 - (codes @ matrix.T).astype(np.float64) * batch.column(2).to_numpy(zero_copy_only=False) * scales[:, None]
+                    if related:
+                        other = np.array(batch.column(3).to_pylist(), object)
+                        far[(languages[:, None] != other) | (ids[:, None] == mine)] = np.inf
+                    best = np.partition(np.concatenate([best, far], axis=1), k - 1, axis=1)[:, :k]
+                    # distances that are equal to nine digits are left to the order by ids
+                    q, r = np.nonzero((far <= best.max(axis=1)[:, None] + 2e-9) & np.isfinite(far))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(mine[r].astype(np.int64)), pa.array(far[q, r])], names=["query_id", "chunk_id", "distance"])
+
+        part = rows.mapInArrow(run, "query_id bigint, chunk_id bigint, distance double")
+        out = part if out is None else out.unionByName(part)
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 9), "chunk_id"))
+    return out.withColumn("_n", nth).where(F.col("_n") <= k).drop("_n")

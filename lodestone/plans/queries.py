@@ -298,6 +298,27 @@ def find_related(spark: SparkSession, d: str) -> DataFrame:
     return rounded(sparse.top_k(dense.as_score(near), 5), "score")
 
 
+@query(
+    f"""WITH {_INT8}, d AS (SELECT a.chunk_id AS query_id, v.chunk_id, 1 - list_inner_product(v.c, a.c) * v.s * a.s AS distance FROM v a, v WHERE a.chunk_id % 50 = 0)
+    SELECT query_id, chunk_id, round(distance, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), chunk_id) <= 10"""
+)
+def knn_int8_every50(spark: SparkSession, d: str) -> DataFrame:
+    """Every row whose id is divisible by 50 as query against all rows."""
+    return rounded(dense.nearest_of_many(int8_vectors(spark, d), 50, 10), "distance")
+
+
+@query(
+    f"""WITH {CORPUS}, {_INT8}, l AS (SELECT v.*, language FROM v JOIN corpus USING (chunk_id)),
+    d AS (SELECT a.chunk_id AS query_id, l.chunk_id, list_inner_product(l.c, a.c) * l.s * a.s AS score FROM l JOIN l a ON l.language = a.language AND l.chunk_id <> a.chunk_id WHERE a.chunk_id % 50 = 0)
+    SELECT query_id, chunk_id, round(score, 6) AS score FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(1 - score, 9), chunk_id) <= 5"""
+)
+def find_related_every50(spark: SparkSession, d: str) -> DataFrame:
+    """Related chunks of every chunk with vector and language whose id is divisible by 50."""
+    rows = int8_vectors(spark, d).join(corpus_rows(spark, d).select("chunk_id", "language").dropDuplicates(["chunk_id"]), "chunk_id")
+    near = dense.nearest_of_many(rows, 50, 5, related=True)
+    return rounded(near.select("query_id", "chunk_id", (1 - F.col("distance")).alias("score")), "score")
+
+
 # --- fusion: row ids tie documents to vectors ------------------------------------------------------------------
 _BM = f"{_DOCS}, {sql_bm25(QUESTION, 'content', 'docs')}, bm AS (SELECT chunk_id, score FROM scored ORDER BY round(score, 9) DESC, chunk_id LIMIT 50)"
 _RRF = f"{_BM}, rb AS (SELECT chunk_id, 1.0 / (60 + row_number() OVER (ORDER BY round(score, 9) DESC, chunk_id)) AS score FROM bm)"

@@ -41,3 +41,15 @@ def test_filtered_search_finds_a_definition(spark):
     chunks = core.corpus(spark, oracle.DATA)
     symbol = core._defined(chunks.where(core.navigate.selection(["typescript"])))
     assert rows.join(chunks, "chunk_id").where(core.ranking.defines(core.F.col("content"), [symbol])).count() > 0
+
+
+@pytest.mark.parametrize("size", [2, 4096])
+def test_every_fiftieth_row_is_a_query(spark, monkeypatch, size):
+    monkeypatch.setattr(core.dense, "QUERY_BLOCK", size)
+    want = {r[0] for r in core.int8_vectors(spark, oracle.DATA).where("chunk_id % 50 = 0").select("chunk_id").collect()}
+    rows = core.queries()["knn_int8_every50"](spark, oracle.DATA).collect()
+    assert len(want) > 2 and {r["query_id"] for r in rows} == want and len(rows) == 10 * len(want)
+    first = core.int8_vectors(spark, oracle.DATA).orderBy("chunk_id").first()["chunk_id"]
+    if first in want:
+        single = {(r["chunk_id"], r["distance"]) for r in core.knn_int8(spark, oracle.DATA).collect()}
+        assert {(r["chunk_id"], r["distance"]) for r in rows if r["query_id"] == first} == single
