@@ -5,17 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.storage import written
+
+
+#: Bits of a row number within its partition in ``monotonically_increasing_id``.
+_ROW_BITS = 33
+
 
 def next_ids(rows: DataFrame, order: list[str], after: int) -> DataFrame:
     """``chunk_id`` from ``after + 1`` on in the order of ``order``, without gathering the rows in one task.
 
-    Rows are spread by range; each partition's rows are numbered on from the sum
-    of the partitions before it (one number per partition).
+    Rows are spread by range, sorted within their partitions and written once with
+    partition and place; ids are then the place plus the sizes of the partitions
+    before (one number per partition). As the ids come from the written rows, every
+    later reading gives the same ones, whatever the planner does. Equal rows of
+    ``order`` are numbered in any order; nulls come first; no rows give none.
     """
-    spread = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    sizes = F.broadcast(spread.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).drop("_n"))
-    numbered = spread.join(sizes, "_p").withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    return numbered.withColumn("chunk_id", (F.lit(after) + F.col("_before") + F.col("_r")).cast("bigint")).drop("_p", "_before", "_r")
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    placed = written(placed, "numbered").withColumn("_p", F.shiftright("_m", _ROW_BITS))
+    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # one row per partition
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).drop("_n")
+    place = F.col("_m").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    numbered = placed.join(F.broadcast(before), "_p").withColumn("chunk_id", F.lit(after + 1).cast("bigint") + F.col("_before") + place)
+    return numbered.drop("_p", "_m", "_before")
 
 
 def apply_changes(chunks: DataFrame, changed: DataFrame, new_chunks: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import subprocess
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.paths import CONTENT_EXTENSIONS, DEFAULT_CONTENT, content_type_of, extension, language_of, slashed
@@ -72,29 +72,34 @@ def top_level(path: str) -> str | None:
     return done.stdout.strip() if done.returncode == 0 else None
 
 
+def _passes(path: Column, content: Sequence[str], folders_above: int = 0) -> Column:
+    """The folder and extension filters on a path; the folders above the root of the scan do not count."""
+    skipped = f"^(?:[^/]*/){{{folders_above}}}(?:.*/)?(?:" + "|".join(re.escape(f) for f in SKIPPED_FOLDERS) + ")/"
+    return ~path.rlike(skipped) & extension(path).isin([e for kind in content for e in CONTENT_EXTENSIONS.get(kind, ())])
+
+
 def accepted(files: DataFrame, content: Sequence[str] = DEFAULT_CONTENT, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """Rows of a listing ``(file_path, size_bytes)`` that pass the folder, extension and size filters. A null size passes."""
-    path = slashed(F.col("file_path"))
-    skipped = "(?:^|/)(?:" + "|".join(re.escape(f) for f in SKIPPED_FOLDERS) + ")/"
-    exts = [e for kind in content for e in CONTENT_EXTENSIONS.get(kind, "").split()]
-    return files.where(~path.rlike(skipped) & extension(path).isin(exts) & (F.coalesce("size_bytes", F.lit(0)) <= max_bytes))
+    return files.where(_passes(slashed(F.col("file_path")), content) & (F.coalesce("size_bytes", F.lit(0)) <= max_bytes))
 
 
 def read_folder(spark: SparkSession, root: str, content: Sequence[str] = DEFAULT_CONTENT, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """``(file_path, ext, content_type, language, size_bytes, mtime_ms, text)`` of the readable files below a folder.
 
-    Size and path filters stand before the content, so skipped files are listed
-    but not read. Blank files are left out. A folder that does not exist is an error.
+    The folder and extension filters stand on the file's metadata, so the planner
+    drops files from the listing before any is opened; the size filter is pushed
+    into the source. Blank files are left out. A folder that does not exist is an error.
     """
-    if "://" not in root:
+    if not re.match(r"[a-z0-9+]+:/", root):
         if not os.path.isdir(root):
             raise FileNotFoundError(root)
         root = "file://" + os.path.abspath(root)
+    place = "/" + re.sub(r"^[a-z0-9+]+:/*", "", root).strip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root)
-    prefix = re.escape("/" + re.sub(r"^[a-z0-9+]+:/*", "", root).rstrip("/") + "/")
-    relative = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9+]+:/+", "/"), f"^{prefix}", "")
-    listed = raw.where(F.col("length") <= max_bytes).select(relative.alias("file_path"), F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").alias("mtime_ms"), "content")
-    files = accepted(listed, content, max_bytes).withColumn("text", F.decode("content", "UTF-8"))
+    # metadata paths are escaped as in a URL, which changes neither slashes nor the letters looked for
+    listed = raw.where(_passes(F.regexp_replace("_metadata.file_path", r"^[a-z0-9+]+:/+", "/"), content, place.count("/") + 1) & (F.col("length") <= max_bytes))
+    relative = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9+]+:/+", "/"), f"^{re.escape(place)}/", "")
+    files = listed.select(relative.alias("file_path"), F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").alias("mtime_ms"), F.decode("content", "UTF-8").alias("text"))
     return files.where(F.length(F.trim(F.regexp_replace("text", r"\s", " "))) > 0).select(
         "file_path", extension(F.col("file_path")).alias("ext"), content_type_of(F.col("file_path")).alias("content_type"), language_of(F.col("file_path")).alias("language"), "size_bytes", "mtime_ms", "text"
     )

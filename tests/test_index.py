@@ -4,9 +4,11 @@ import os
 import time
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestone.operators import incremental
+from lodestone.operators import incremental, sparse
+from lodestone.operators.chunking import chunk_files
 from lodestone.plans import render, server
 from lodestone.plans.index import Index, tool_top_k
 from lodestone.sources import bundle, scan
@@ -147,6 +149,37 @@ def test_next_ids_are_dense(spark):
     assert [r["chunk_id"] for r in got] == list(range(7, 107))
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_ids_hold_for_many_wide_rows(spark, adaptive):
+    n = 200_000
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        rows = spark.range(n).select(F.format_string("d%03d/f%06d", F.col("id") % 97, F.col("id") % 60_000).alias("file_path"), F.col("id").cast("int").alias("start_line"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 6).alias("content"))
+        got = incremental.next_ids(rows, ["file_path", "start_line"], -1)
+        # the numbers are the same in every later plan over them
+        pair = got.select("chunk_id", "content").join(got.select("chunk_id", F.col("content").alias("again")), "chunk_id")
+        line = pair.agg(F.count(F.lit(1)), F.count_distinct("chunk_id"), F.min("chunk_id"), F.max("chunk_id"), F.count_if(F.col("content") != F.col("again"))).first()
+        assert tuple(line) == (n, n, 0, n - 1, 0)
+        w = Window.orderBy("chunk_id")
+        steps = got.select((F.struct("file_path", "start_line") > F.lag(F.struct("file_path", "start_line")).over(w)).alias("up"))
+        assert steps.where("not up").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_ids_agree_across_the_tables_of_a_refresh(spark):
+    n = 30_000
+    files = spark.range(n).select(F.format_string("src/f%05d.py", "id").alias("file_path"), F.lit("python").alias("language"), F.lit(900).cast("bigint").alias("size_bytes"), F.col("id").alias("mtime_ms"), F.concat(F.lit("def f"), "id", F.lit("():\n    return "), F.repeat(F.concat(F.lit("word"), "id", F.lit(" + ")), 30), F.lit("1\n")).alias("text"))
+    index = Index.from_chunks(incremental.next_ids(chunk_files(files), ["file_path", "pos"], -1), HashEmbedder(8), files=files)
+    changed = files.where("mtime_ms % 3 = 0").select("file_path")
+    later = files.withColumn("text", F.concat(F.col("text"), F.lit("# later\n")))
+    fresh = index.apply_changes(changed, later)
+    for t in ("chunks", "lengths", "vectors"):
+        assert tuple(getattr(fresh, t).agg(F.count(F.lit(1)), F.count_distinct("chunk_id")).first()) == (n, n), t
+    held = sparse.postings(sparse.chunk_tokens(fresh.chunks))
+    assert held.exceptAll(fresh.postings).count() == 0 and fresh.postings.exceptAll(held).count() == 0
+
+
 def test_apply_changes(spark):
     old = spark.createDataFrame([(0, "a", 1, 1, None, "x"), (1, "b", 1, 1, None, "y"), (2, "b", 2, 2, None, "z")], COLUMNS)
     new = spark.createDataFrame([(0, "b", 1, 1, None, "new"), (0, "c", 1, 1, None, "c")], COLUMNS)
@@ -267,3 +300,18 @@ def test_command_line(spark, folder, capsys, monkeypatch):
     assert cli.main(["expand", folder, "sample.go", "3"]) == 0
     assert cli.main(["find-related", folder, "sample.go", "3", "--json"]) == 0
     assert cli.main(["clear", folder]) == 0
+
+
+def test_skipped_files_are_not_opened(spark, folder):
+    plan = scan.read_folder(spark, folder)
+    rows = {r["file_path"] for r in plan.select("file_path", "text").collect()}
+    assert "node_modules/x/index.js" not in rows and "sample.go" in rows
+    node = plan._jdf.queryExecution().executedPlan().collectLeaves().head()
+    node.execute().count()
+    assert node.metrics().apply("numFiles").value() == sum(p.endswith((".go", ".py", ".yaml")) for p in FILES)
+
+
+def test_stream_filters_and_deletes(spark):
+    rows = [("a.py", "python", 5, None, "x", False), ("a.py", "python", 5, 3, "y", False), ("b.py", None, 1, 2, "x", False), ("b.py", None, 1, 2, None, True)]
+    got = {r["file_path"]: (r["text"], r["deleted"]) for r in refresh.latest_versions(spark.createDataFrame(rows, refresh.FILE_SCHEMA)).collect()}
+    assert got == {"a.py": ("y", False), "b.py": (None, True)}
