@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What identifiers, their parts and query words are.
 IDENTIFIER = "[a-zA-Z_][a-zA-Z0-9_]*"
 #: Runs of one identifier: an acronym before a word, a word, an acronym, digits.
 CASE_RUNS = "[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+"

@@ -7,7 +7,9 @@ worked on alone, in Arrow batches; nothing is shuffled. Positions are bytes.
 from __future__ import annotations
 
 import ast
+import os
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -23,6 +25,7 @@ LEAST_NODE, DEEPEST = 50, 500
 BRACE_LINES = 60
 
 Span = tuple[int, int]
+_BRACE, _TRAILING = re.compile(rb"[{}]"), re.compile(rb"[; \t]*\n?")
 _LINE = re.compile(rb"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+")
 
 # What opens a declaration in each language.
@@ -71,71 +74,90 @@ def _indent(line: bytes) -> int:
     return len(line) - len(line.lstrip(b" \t"))
 
 
-def python_units(data: bytes) -> list[Span]:
-    """Functions at the top with their decorators; a class up to its first method, then each method; what comes before the first declaration."""
-    spans = line_spans(data)
-    text = [data[a:b].rstrip(b"\r\n") for a, b in spans]
-    bare = [t.strip() for t in text]
+def _block_ends(depth: list[int | None]) -> list[int]:
+    """Last line of the block that each line opens: the one before the next line of code that is not deeper.
 
-    def block_end(i: int, indent: int) -> int:
-        for j in range(i + 1, len(spans)):
-            if bare[j] and not bare[j].startswith(b"#") and _indent(text[j]) <= indent:
-                return j - 1
-        return len(spans) - 1
-
-    units: set[Span] = set()
-    first: int | None = None
-    for i, line in enumerate(bare):
-        if not _PY_DECLARATION.match(line):
+    ``depth`` is null for lines without code. One pass from the end over a stack of
+    the lines that may still close something.
+    """
+    ends, open_ = [0] * len(depth), []
+    for i in range(len(depth) - 1, -1, -1):
+        d = depth[i]
+        if d is None:
             continue
-        if first is None:
-            first = spans[i][0]
-        indent = _indent(text[i])
-        if line.startswith(b"class "):
-            last = block_end(i, indent)
-            methods = [j for j in range(i + 1, last + 1) if _PY_FUNCTION.match(bare[j]) and _indent(text[j]) > indent]
-            ends = [block_end(j, _indent(text[j])) for j in methods]
-            units.add((spans[i][0], spans[ends[0] if methods else last][1]))
-            units.update((spans[j][0], spans[e][1]) for j, e in zip(methods[1:], ends[1:]))
-        elif indent == 0:
+        while open_ and depth[open_[-1]] > d:
+            open_.pop()
+        ends[i] = (open_[-1] if open_ else len(depth)) - 1
+        open_.append(i)
+    return ends
+
+
+def python_units(data: bytes) -> list[Span]:
+    """Functions at the top with their decorators; a class up to the end of its first method, then each further method; what comes before the first declaration."""
+    spans = line_spans(data)
+    lines = [data[a:b].rstrip(b"\r\n") for a, b in spans]
+    code = [t.strip() for t in lines]
+    depth = [_indent(t) if c and not c.startswith(b"#") else None for t, c in zip(lines, code)]
+    declared = [i for i, c in enumerate(code) if _PY_DECLARATION.match(c)]
+    if not declared:
+        return []
+    functions = [i for i in declared if _PY_FUNCTION.match(code[i])]
+    ends = _block_ends(depth)
+    units: set[Span] = {(0, spans[declared[0]][0])} if declared[0] else set()
+    outer, at = None, 0  # the outermost class around a line; functions before the line
+    for i in declared:
+        if outer is not None and i > ends[outer]:
+            outer = None
+        is_function = at < len(functions) and functions[at] == i
+        if code[i].startswith(b"class "):
+            outer = i if outer is None else outer
+            following = functions[at] if at < len(functions) else len(spans)
+            units.add((spans[i][0], spans[ends[following] if following <= ends[i] else ends[i]][1]))
+        elif depth[i] == 0:
             top = i
-            while top and bare[top - 1].startswith(b"@"):
+            while top and code[top - 1].startswith(b"@"):
                 top -= 1
-            units.add((spans[top][0], spans[block_end(i, 0)][1]))
-    if first:
-        units.add((0, first))
+            units.add((spans[top][0], spans[ends[i]][1]))
+        elif is_function and outer is not None and functions[at - 1 if at else 0] > outer and at:
+            units.add((spans[i][0], spans[ends[i]][1]))
+        at += is_function
     return sorted(units)
 
 
+def _brace_pairs(data: bytes) -> tuple[list[int], dict[int, int]]:
+    """Places of the opening braces, and the end of the closing brace of each that is closed."""
+    opening, closed, waiting = [], {}, []
+    for m in _BRACE.finditer(data):
+        if m[0] == b"{":
+            opening.append(m.start())
+            waiting.append(m.start())
+        elif waiting:
+            closed[waiting.pop()] = m.end()
+    return opening, closed
+
+
 def brace_units(data: bytes, language: str) -> list[Span]:
-    """From each declaration to the brace that closes it, with what trails on its line; what comes before the first."""
+    """From each declaration to the brace that closes it, with what trails on its line; what comes before the first.
+
+    Braces are paired once per text; a declaration takes the first one that opens within ``BRACE_LINES`` lines.
+    """
     spans = line_spans(data)
     kind, function, control = _DECLARATIONS[language]
-    nested_ok = function is None
+    opening, closed = _brace_pairs(data)
     units: set[Span] = set()
     first: int | None = None
     for i, (a, b) in enumerate(spans):
         line = data[a:b].rstrip(b"\r\n")
-        is_type = bool(kind.match(line))
-        if not is_type and not (function and function.match(line) and not control.match(line)):
-            continue
-        if not nested_ok and not is_type and _indent(line):
-            continue
-        if first is None:
-            first = a
-        at = data.find(b"{", a)
+        if not kind.match(line):
+            at_margin = function is not None and not _indent(line)
+            if not at_margin or not function.match(line) or control.match(line):
+                continue
+        first = a if first is None else first
+        k = bisect_left(opening, a)
         limit = spans[i + BRACE_LINES][1] if i + BRACE_LINES < len(spans) else len(data)
-        if at < 0 or at >= limit:
-            continue
-        depth = 0
-        for m in re.compile(rb"[{}]").finditer(data, at):
-            depth += 1 if m[0] == b"{" else -1
-            if not depth:
-                end = m.end()
-                while data[end : end + 1] in (b";", b" ", b"\t"):
-                    end += 1
-                units.add((a, end + (data[end : end + 1] == b"\n")))
-                break
+        end = closed.get(opening[k]) if k < len(opening) and opening[k] < limit else None
+        if end is not None:
+            units.add((a, _TRAILING.match(data, end).end()))
     if first:
         units.add((0, first))
     return sorted(units)
@@ -187,13 +209,55 @@ def python_tree_chunks(data: bytes, target: int = TARGET_BYTES) -> list[Span] |
     return merged(closed, target)
 
 
-#: Tree chunkers by language; a caller may add one.
-TREE_CHUNKERS: dict[str, Callable[[bytes, int], list[Span] | None]] = {"python": python_tree_chunks}
+def nested_tree_chunks(data: bytes, target: int = TARGET_BYTES) -> list[Span] | None:
+    """For languages without a parser here: a tree by brackets and indentation, taken apart while a part is too long, then merged.
+
+    A line's depth is the number of brackets open before it, and its indentation
+    within them; a node is a line with the deeper lines after it. None without lines.
+    """
+    spans = line_spans(data)
+    if not spans:
+        return None
+    depth, open_ = [], 0
+    for a, b in spans:
+        line = data[a:b]
+        closing = line.lstrip()[:1] in (b")", b"]", b"}")
+        blank = not line.strip()
+        depth.append(None if blank or closing else (open_, _indent(line)))  # these lines belong to the node before them
+        open_ = max(0, open_ + sum(line.count(c) for c in (b"(", b"[", b"{")) - sum(line.count(c) for c in (b")", b"]", b"}")))
+    units: list[Span] = []
+    todo = [(0, len(spans), 0)]
+    while todo:
+        lo, hi, level = todo.pop()
+        if spans[hi - 1][1] - spans[lo][0] <= target or hi - lo == 1 or level >= DEEPEST:
+            units.append((spans[lo][0], spans[hi - 1][1]))
+            continue
+        top = min((d for d in depth[lo + bool(level) : hi] if d is not None), default=None)
+        cuts = [] if top is None else [i for i in range(lo + 1, hi) if depth[i] == top]
+        todo += [(x, y, level + 1 if cuts or not level else DEEPEST) for x, y in zip([*cuts[::-1], lo], [hi, *cuts[::-1]])]
+    closed: list[Span] = []
+    for a, b in units:
+        if closed and closed[-1][1] - closed[-1][0] < LEAST_NODE:
+            closed[-1] = (closed[-1][0], b)
+        else:
+            closed.append((a, b))
+    return merged(closed, target)
+
+
+#: Tree chunkers by language; a caller may add one. Python has a parser here, the others the nested form.
+TREE_CHUNKERS: dict[str, Callable[[bytes, int], list[Span] | None]] = {"python": python_tree_chunks} | dict.fromkeys(
+    ("bash", "c", "cpp", "csharp", "css", "dockerfile", "elixir", "go", "html", "java", "javascript", "kotlin", "lua", "php", "ruby", "rust", "scala", "toml", "typescript", "tsx", "yaml"), nested_tree_chunks
+)
+
+
+def trees_wanted() -> bool:
+    """Trees are used where asked for unless ``LODESTONE_TREE_CHUNKING`` is 0."""
+    return os.environ.get("LODESTONE_TREE_CHUNKING") != "0"
 
 
 def chunk_spans(data: bytes, language: str | None, target: int = TARGET_BYTES, trees: bool = False) -> list[Span]:
     """By tree if wanted and possible, else by structure, else by lines."""
-    found = TREE_CHUNKERS[language](data, target) if trees and language in TREE_CHUNKERS else None
+    found = TREE_CHUNKERS[language](data, target) if trees and trees_wanted() and language in TREE_CHUNKERS else None
     if found is None:
         found = structural_chunks(data, language, target)
     return line_chunks(data, target) if found is None else found

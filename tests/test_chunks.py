@@ -130,3 +130,26 @@ def test_snippets(spark, chunks):
     assert got[1]["full_end_line"] == 139 and got[1]["content"].count("\n") == 6
     assert not got[2]["truncated"] and got[2]["content"] == "short"
     assert not got[3]["truncated"] and got[3]["content"] is None
+
+
+def test_nested_trees(monkeypatch):
+    go = b'package main\n\nimport "fmt"\n\nfunc hello() {\n\tfmt.Println("hi")\n}\n\nfunc world() {\n\tfmt.Println("world")\n}\n'
+    assert chunking.chunk_spans(go, "go", 1500, trees=True) == [(0, len(go))]
+    spans = chunking.chunk_spans(go, "go", 60, trees=True)
+    assert spans[0][0] == 0 and spans[-1][1] == len(go) and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+    assert go.index(b"func world") in [a for a, _ in spans]
+    deep = b"".join(b" " * i + b"if (x) {\n" for i in range(2000)) + b"}\n" * 2000
+    spans = chunking.nested_tree_chunks(deep, 300)
+    assert spans[0][0] == 0 and spans[-1][1] == len(deep)
+    assert chunking.nested_tree_chunks(b"") is None
+    monkeypatch.setenv("LODESTONE_TREE_CHUNKING", "0")
+    assert chunking.chunk_spans(go, "go", 60, trees=True) == chunking.chunk_spans(go, "go", 60)
+
+
+def test_units_take_linear_time():
+    import time
+
+    began = time.time()
+    chunking.python_units(b"".join(b" " * (i % 300) + (b"class A:\n" if i % 2 else b"def f():\n") for i in range(40_000)))
+    chunking.brace_units(b"func a() {\n" * 40_000 + b"}\n" * 40_000, "go")
+    assert time.time() - began < 20
