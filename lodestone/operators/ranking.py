@@ -31,6 +31,7 @@ DEFINITION_WORDS = ("class", "module", "defmodule", "def", "interface", "struct"
 SQL_DEFINITION_WORDS = ("CREATE TABLE", "CREATE VIEW", "CREATE PROCEDURE", "CREATE FUNCTION")
 GENERIC_STEMS = frozenset("route routes router routing handler middleware channel model models request response utils util server client application dispatch core lib main mod test tests schema config helper helpers engine pipeline plug plugs command commands index".split())
 IMPLEMENTATION_STEMS = frozenset("command handler router routing middleware model channel request response dispatch pipeline".split())
+# What marks package entries, entry points and installer paths.
 PACKAGE_ENTRY = r"^\[package entry\]"
 ENTRY_CODE = r"#!/usr/bin|(?:^|\n)\s*(?:async\s+)?function\s+main\s*\(|(?:^|\n)\s*if\s*\(\s*require\.main\s*===\s*module"
 INSTALLER_PATH = "(?:^|/)installer(?:/|$)"
@@ -104,8 +105,8 @@ def definition_tier(path: Column, content: Column, names: list[str]) -> Column:
 
 
 def with_chunks(scored: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Scores with path and content. Candidates are few, so their side is the one to broadcast."""
-    return chunks.select("chunk_id", "file_path", "content").join(scored.select("chunk_id", "score"), "chunk_id")
+    """Scores with path and content, repeated chunks once. Candidates are few, so their side is the one to broadcast."""
+    return chunks.select("chunk_id", "file_path", "content").join(scored.select("chunk_id", "score"), "chunk_id").dropDuplicates(["chunk_id"])
 
 
 def largest(scored: DataFrame) -> float:
@@ -127,8 +128,8 @@ def cohere(scored: DataFrame) -> DataFrame:
 
 
 def injected(chunks: DataFrame, scored: DataFrame, keep: Column, gain: Column) -> DataFrame:
-    """Chunks outside ``scored`` for which ``keep`` holds, with ``gain`` as their score if it is not 0."""
-    rows = chunks.where(keep).withColumn("score", gain).where("score <> 0")
+    """Chunks outside ``scored`` for which ``keep`` holds, with ``gain`` as their score if it is not 0; repeated rows once."""
+    rows = chunks.where(keep).withColumn("score", gain).where("score <> 0").dropDuplicates(["chunk_id"])
     return rows.join(scored.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id", "file_path", "content", "score")
 
 

@@ -28,8 +28,14 @@ def chunk_tokens(chunks: DataFrame, enrich: bool = True) -> DataFrame:
 
 
 def postings(chunk_tokens: DataFrame) -> DataFrame:
-    """``(term, chunk_id, tf)``: how often each chunk holds each term."""
-    return chunk_tokens.select("chunk_id", F.explode("tokens").alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    """``(term, chunk_id, tf)``: how often each chunk holds each term.
+
+    Tokens are numbered in sorted order, where a term's occurrences are neighbours: its
+    count is the span of its numbers. A chunk that occurs more than once (identical
+    rows) gives the same numbers again and so counts once, without an exchange of texts.
+    """
+    placed = chunk_tokens.select("chunk_id", F.posexplode(F.sort_array("tokens")).alias("at", "term"))
+    return placed.groupBy("term", "chunk_id").agg((F.max("at") - F.min("at") + 1).cast("int").alias("tf"))
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:
@@ -38,8 +44,8 @@ def document_frequency(postings: DataFrame) -> DataFrame:
 
 
 def lengths(chunk_tokens: DataFrame) -> DataFrame:
-    """``(chunk_id, dl)``: tokens of every chunk, those without any included."""
-    return chunk_tokens.select("chunk_id", F.size("tokens").alias("dl"))
+    """``(chunk_id, dl)``: tokens of every chunk, those without any included; repeated rows count once."""
+    return chunk_tokens.select("chunk_id", F.size("tokens").alias("dl")).groupBy("chunk_id").agg(F.max("dl").alias("dl"))
 
 
 def length_stats(lengths: DataFrame) -> DataFrame:

@@ -33,12 +33,12 @@ class Index:
     # --- building -----------------------------------------------------------------------------------------
     @classmethod
     def from_chunks(cls, chunks: DataFrame, embedder: Embedder | None = None, vectors: DataFrame | None = None, files: DataFrame | None = None, **more) -> Index:
-        """From chunks with unique ids; vectors ``(chunk_id, codes, scale)`` are computed if not given."""
+        """From chunks; rows under one id must be identical and count once; vectors ``(chunk_id, codes, scale)`` are computed if not given."""
         embedder = embedder or HashEmbedder()
         chunks = chunks.select(*CHUNK_COLUMNS)
         tokens = sparse.chunk_tokens(chunks)
         if vectors is None:
-            embedded = embed_chunks(chunks, embedder)
+            embedded = embed_chunks(chunks, embedder).dropDuplicates(["chunk_id"])
             vectors = embedded.select("chunk_id", dense.quantize(F.col("embedding")).alias("q")).select("chunk_id", "q.codes", "q.scale")
         if files is None:
             files = chunks.groupBy("file_path").agg(F.lit(None).cast("bigint").alias("mtime_ms"), F.lit(None).cast("bigint").alias("size_bytes"))
@@ -143,7 +143,7 @@ class Index:
             candidates = self.spark.createDataFrame(both.collect(), "chunk_id bigint, score double")
             rows = ranking.with_chunks(candidates, chunks)
             best = ranking.saturated(ranking.boosted(rows, chunks.select("chunk_id", "file_path", "content"), query), top_k, weight < 1.0).select("chunk_id", "score")
-        return chunks.join(F.broadcast(best), "chunk_id").orderBy(F.round("score", 9).desc(), "chunk_id")  # top_k rows
+        return chunks.join(F.broadcast(best), "chunk_id").dropDuplicates(["chunk_id"]).orderBy(F.round("score", 9).desc(), "chunk_id")  # top_k rows
 
     def locate(self, literals: str | Sequence[str], **options) -> DataFrame:
         return locate.locate(self.chunks, literals, **options)

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,6 +19,7 @@ from lodestone.plans.corpus import corpus, corpus_rows, documents_as_chunks, flo
 from lodestone.plans.index import Index
 from lodestone.sources import bundle, scan
 from lodestone.sources.embedders import HashEmbedder
+from lodestone.storage import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -72,7 +72,7 @@ def sql_enriched(content: str = "content", path: str = "file_path") -> str:
 
 def sql_bm25(query_: str, body: str, chunks: str = "corpus", where: str = "TRUE") -> str:
     """CTEs up to ``scored(chunk_id, file_path, score)``."""
-    terms = ", ".join(q(t) for t in sparse.query_terms(query_))
+    terms = ", ".join(q(t) for t in dict.fromkeys(query_.lower().split()))  # plain words
     return f"""toks AS (SELECT chunk_id, language, file_path, {sql_tokens(body)} AS t FROM {chunks}),
         stats AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS al FROM toks),
         post AS (SELECT chunk_id, language, file_path, len(t) AS dl, unnest([{terms}]) AS term, t FROM toks),
@@ -120,17 +120,17 @@ _POSTINGS = f"WITH {CORPUS}, p AS (SELECT chunk_id, unnest({sql_tokens(sql_enric
 
 @query(f"{_POSTINGS} SELECT term, chunk_id, count(*)::INT AS tf FROM p GROUP BY term, chunk_id")
 def postings(spark: SparkSession, d: str) -> DataFrame:
-    return sparse.postings(sparse.chunk_tokens(corpus(spark, d)))
+    return sparse.postings(sparse.chunk_tokens(corpus_rows(spark, d)))
 
 
 @query(f"{_POSTINGS} SELECT term, count(DISTINCT chunk_id) AS df FROM p GROUP BY term")
 def doc_freq(spark: SparkSession, d: str) -> DataFrame:
-    return sparse.document_frequency(sparse.postings(sparse.chunk_tokens(corpus(spark, d))))
+    return sparse.document_frequency(sparse.postings(sparse.chunk_tokens(corpus_rows(spark, d))))
 
 
 @query(f"WITH {CORPUS}, t AS (SELECT len({sql_tokens(sql_enriched())}) AS dl FROM corpus) SELECT count(*) AS n_chunks, round(avg(dl), 6) AS avg_len, max(dl)::INT AS max_len FROM t")
 def doc_length_stats(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(sparse.length_stats(sparse.lengths(sparse.chunk_tokens(corpus(spark, d)))), "avg_len")
+    return rounded(sparse.length_stats(sparse.lengths(sparse.chunk_tokens(corpus_rows(spark, d)))), "avg_len")
 
 
 _TOP = "SELECT chunk_id, round(score, 6) AS score FROM scored ORDER BY round(score, 9) DESC, chunk_id LIMIT {k}"
@@ -150,7 +150,7 @@ def bm25_chunks(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {CORPUS}, {sql_bm25(KEYWORDS, sql_enriched())} {_TOP.format(k=20)}")
 def bm25_from_index(spark: SparkSession, d: str) -> DataFrame:
     """The same through postings and lengths."""
-    tokens = sparse.chunk_tokens(corpus(spark, d))
+    tokens = sparse.chunk_tokens(corpus_rows(spark, d))
     return rounded(sparse.top_k(sparse.index_scores(sparse.postings(tokens), sparse.lengths(tokens), KEYWORDS), 20), "score")
 
 
@@ -191,10 +191,7 @@ def locate_ignore_case(spark: SparkSession, d: str) -> DataFrame:
     return locate.locate(corpus_rows(spark, d), ["TokenBudget", "LEDGER"], ignore_case=True).select("file_path", "line", "text")
 
 
-_VARIANTS = locate.needles_of("rule", True)
-
-
-@query(sql_hits(" OR ".join(f"contains(text, {q(n)})" for n in _VARIANTS)) + " SELECT file_path, line, text FROM hits")
+@query(sql_hits("regexp_matches(text, 'rule|Rule|RULE')") + " SELECT file_path, line, text FROM hits")
 def locate_variants(spark: SparkSession, d: str) -> DataFrame:
     return locate.locate(corpus_rows(spark, d), "rule", variants=True).select("file_path", "line", "text")
 
@@ -356,12 +353,22 @@ _COHERED = f"""{_CANDIDATES}, su AS (SELECT *, sum(score) OVER (PARTITION BY fil
     co AS (SELECT chunk_id, file_path, score + CASE WHEN rn = 1 THEN (SELECT max(score) FROM su) * 0.2 * fs / (SELECT max(fs) FROM su) ELSE 0 END AS score FROM su)"""
 
 
+#: The penalties once more, for the SQL side only.
+_PENALISED = (
+    (r"(?:^|/)test_[^/]*\.py$|_test\.(py|go|rb|cpp|c|dart|lua)$|(?:^|/)test_[^/]*\.(cpp|c|dart|lua)$|Tests?\.(java|kt|swift|cs)$|Test\.(php|scala)$|_spec\.(rb|lua)$|\.(test|spec)\.[jt]sx?$|Spec\.(kt|swift|scala)$|Suite\.scala$|(?:^|/)test_helpers?[^/]*\.\w+$|(?:^|/)(tests?|__tests__|spec|testing)(/|$)", 0.3),
+    (r"(?:^|/)(__init__\.py|package-info\.java)$", 0.5),
+    (r"(?:^|/)(_?compat|legacy)(/|$)", 0.3),
+    (r"(?:^|/)(_?examples?|docs?_src)(/|$)", 0.3),
+    (r"\.d\.ts$", 0.7),
+)
+
+
 def sql_penalty(p: str) -> str:
-    return " * ".join(f"(CASE WHEN regexp_matches({p}, {q(pattern)}) THEN {factor}::DOUBLE ELSE 1::DOUBLE END)" for pattern, factor in paths.PENALTIES)
+    return " * ".join(f"(CASE WHEN regexp_matches({p}, {q(pattern)}) THEN {factor}::DOUBLE ELSE 1::DOUBLE END)" for pattern, factor in _PENALISED)
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    chunks = corpus(spark, d)
+    chunks = corpus_rows(spark, d)
     return ranking.with_chunks(sparse.top_k(sparse.scan_scores(chunks, KEYWORDS), 100), chunks)
 
 
@@ -423,28 +430,11 @@ def stem_boost(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ranking.boost_stems(rows, KEYWORDS, ranking.largest(rows)).select("chunk_id", "score"), "score")
 
 
-#: Small chunks for operators that the driver's texts do not exercise.
-FIXTURE = [
-    (1, "src/auth/session_manager.go", "go", "package auth\nfunc SessionManager(x int) {\n}\n"),
-    (2, "src/auth/login.go", "go", "// uses SessionManager\nfunc login() { SessionManager(1) }\n"),
-    (3, "tests/session_manager_test.go", "go", "func TestSessionManager(t *T) {}\n"),
-    (4, "lib/SessionManagers.py", "python", "class SessionManager:\n    pass\n"),
-    (5, "db/schema.sql", "sql", "create table SessionManager (id int);\n"),
-    (6, "bin/start.js", "javascript", "#!/usr/bin/env node\nasync function main() {}\n"),
-    (7, "src/installer/hooks.ts", "typescript", "export const hook = () => 1;\n"),
-    (8, "package.json", "json", "[package entry] bin: start.js\n"),
-    (9, "src/router.ts", "typescript", "export class Router { route() {} }\n"),
-    (10, "src/session.py", "python", "def session():\n    return SessionManager()\n"),
-]
-_FIX = "fix AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {q(p)}, {q(c)})" for i, p, _, c in FIXTURE) + ") t(chunk_id, file_path, content))"
-#: Candidates among them.
-_HELD = "cand AS (SELECT fix.*, s.score FROM fix JOIN (VALUES (2::BIGINT, 1.0::DOUBLE), (3, 0.8), (7, 0.5), (9, 0.9), (10, 0.4)) s(chunk_id, score) USING (chunk_id))"
-
-
-def _fixture(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    chunks = spark.createDataFrame([(i, p, c) for i, p, _, c in FIXTURE], "chunk_id bigint, file_path string, content string")
-    scores = spark.createDataFrame([(2, 1.0), (3, 0.8), (7, 0.5), (9, 0.9), (10, 0.4)], "chunk_id bigint, score double")
-    return chunks, ranking.with_chunks(scores, chunks)
+#: Small files for the scan.
+SCANNED = [
+    ("src/auth/login.go", "// uses a session\nfunc login() {}\n"), ("src/router.ts", "export class Router {}\n"), ("package.json", "{}\n"), ("README.md", "# notes\n"),
+    ("node_modules/x/index.js", "function hidden() {}\n"), (".git/config", "[core]\n"), ("blank.py", " \n"), ("build/out.go", "package out\n"),
+]
 
 
 _DEFINES = "regexp_matches(content, '(?m)(?:^|\\s)(?:class|module|defmodule|def|interface|struct|enum|trait|type|func|function|object|abstract\\s+class|data\\s+class|fn|fun|package|namespace|protocol|record|typedef)\\s+(?:[A-Za-z_][A-Za-z0-9_]*(?:\\.|::))*SessionManager(?:\\s|[<({:\\[;]|$)') OR regexp_matches(content, '(?im)(?:^|\\s)(?:CREATE\\s+TABLE|CREATE\\s+VIEW|CREATE\\s+PROCEDURE|CREATE\\s+FUNCTION)\\s+(?:[A-Za-z_][A-Za-z0-9_]*(?:\\.|::))*SessionManager(?:\\s|[<({:\\[;]|$)')"
@@ -452,47 +442,7 @@ _FLAT = f"replace(lower({sql_stem('file_path')}), '_', '')"
 _NAMED = f"regexp_replace({_FLAT}, 's$', '') = 'sessionmanager'"
 
 
-@query(
-    f"""WITH {_FIX}, {_HELD}, t AS (SELECT chunk_id, CASE WHEN {_DEFINES} THEN CASE WHEN {_NAMED} THEN 4.5 ELSE 3.0 END ELSE 0 END AS tier, {_NAMED} AS named FROM fix)
-    SELECT chunk_id, round(coalesce(cand.score, 0) + tier, 6)::DOUBLE AS score FROM t LEFT JOIN cand USING (chunk_id) WHERE cand.score IS NOT NULL OR (named AND tier > 0)"""
-)
-def symbol_definition_boost(spark: SparkSession, d: str) -> DataFrame:
-    chunks, scored = _fixture(spark)
-    return rounded(ranking.boost_symbol_definitions(scored, chunks, "SessionManager", ranking.largest(scored)).select("chunk_id", "score"), "score")
-
-
-@query(
-    f"""WITH {_FIX}, {_HELD}, t AS (SELECT chunk_id, CASE WHEN {_DEFINES} THEN CASE WHEN {_NAMED} THEN 2.25 ELSE 1.5 END ELSE 0 END AS tier, (length({_FLAT}) >= 4 AND starts_with('sessionmanager', {_FLAT})) AS near FROM fix)
-    SELECT chunk_id, round(coalesce(cand.score, 0) + tier, 6)::DOUBLE AS score FROM t LEFT JOIN cand USING (chunk_id) WHERE cand.score IS NOT NULL OR (near AND tier > 0)"""
-)
-def embedded_symbol_boost(spark: SparkSession, d: str) -> DataFrame:
-    chunks, scored = _fixture(spark)
-    return rounded(ranking.boost_embedded_symbols(scored, chunks, "who calls SessionManager first", ranking.largest(scored)).select("chunk_id", "score"), "score")
-
-
-@query(f"WITH {_FIX}, {_HELD} SELECT chunk_id, round(score + CASE WHEN {_FLAT} IN ('session', 'login') THEN 0.75 ELSE 0 END, 6)::DOUBLE AS score FROM cand")
-def exact_stem_boost(spark: SparkSession, d: str) -> DataFrame:
-    """``main`` is too generic to count."""
-    _, scored = _fixture(spark)
-    return rounded(ranking.boost_exact_stems(scored, "session login main", ranking.largest(scored)).select("chunk_id", "score"), "score")
-
-
-@query(
-    f"""WITH {_FIX}, {_HELD}, g AS (SELECT chunk_id, CASE WHEN starts_with(content, '[package entry]') THEN 2.5 WHEN contains(content, '#!/usr/bin') THEN 2.5 ELSE 0 END AS gain FROM fix)
-    SELECT chunk_id, round(coalesce(cand.score, 0) + gain, 6)::DOUBLE AS score FROM g LEFT JOIN cand USING (chunk_id) WHERE cand.score IS NOT NULL OR gain > 0"""
-)
-def location_boost(spark: SparkSession, d: str) -> DataFrame:
-    chunks, scored = _fixture(spark)
-    return rounded(ranking.boost_locations(scored, chunks, "where is the entry point", ranking.largest(scored)).select("chunk_id", "score"), "score")
-
-
-@query(f"WITH {_FIX}, {_HELD} SELECT chunk_id, round(score * CASE WHEN contains(file_path, '/installer/') THEN 0.35 ELSE 1 END, 6)::DOUBLE AS score FROM cand")
-def installer_penalty(spark: SparkSession, d: str) -> DataFrame:
-    _, scored = _fixture(spark)
-    return rounded(ranking.penalize_installer(scored, "where is the entry point").select("chunk_id", "score"), "score")
-
-
-# --- the same boosts over the tables: what is asked for is taken from the candidates, as names and stems differ between tables ---
+# --- boosts over the tables: what is asked for is taken from the candidates, as names and stems differ between tables ---
 _NEW_NAME = r"(?m)(?:^|\s)(?:class|interface|struct|enum|trait|type|func|function|def|fn)\s+((?:[A-Z][a-z]|[a-z])[a-z]*[A-Z][A-Za-z0-9]+)(?:\s|[<({:\[;]|$)"
 _STEM_WORD = "^[a-zA-Z_][a-zA-Z0-9_-]{2,}$"
 _PLACE = "where is the entry point"
@@ -521,14 +471,14 @@ def _held(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, float]:
     """All chunks, the candidates among them (a hundred rows, read once) and the best score."""
     rows = _candidates(spark, d)
     scored = spark.createDataFrame(rows.collect(), rows.schema)
-    return corpus(spark, d).select("chunk_id", "file_path", "content"), scored, ranking.largest(scored)
+    return corpus_rows(spark, d).select("chunk_id", "file_path", "content"), scored, ranking.largest(scored)
 
 
 @query(
     f"""WITH {_ASKED}, t AS (SELECT chunk_id, mx, CASE WHEN {_DEFINES_NAME} THEN CASE WHEN {_NAMED_SO} THEN 4.5 ELSE 3.0 END ELSE 0 END AS tier, {_NAMED_SO} AS named FROM corpus, sym, mx)
     SELECT chunk_id, round(coalesce(cand.score, 0) + tier::DOUBLE * mx, 6) AS score FROM t LEFT JOIN cand USING (chunk_id) WHERE cand.score IS NOT NULL OR (named AND tier * mx <> 0)"""
 )
-def symbol_definition_boost_tables(spark: SparkSession, d: str) -> DataFrame:
+def symbol_definition_boost(spark: SparkSession, d: str) -> DataFrame:
     chunks, scored, best = _held(spark, d)
     return rounded(ranking.boost_symbol_definitions(scored, chunks, _defined(scored), best).select("chunk_id", "score"), "score")
 
@@ -537,7 +487,7 @@ def symbol_definition_boost_tables(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {_ASKED}, t AS (SELECT chunk_id, mx, CASE WHEN {_DEFINES_NAME} THEN CASE WHEN {_NAMED_SO} THEN 2.25 ELSE 1.5 END ELSE 0 END AS tier, {_BEGINS} AS near FROM corpus, sym, mx)
     SELECT chunk_id, round(coalesce(cand.score, 0) + tier::DOUBLE * mx, 6) AS score FROM t LEFT JOIN cand USING (chunk_id) WHERE cand.score IS NOT NULL OR (near AND tier * mx <> 0)"""
 )
-def embedded_symbol_boost_tables(spark: SparkSession, d: str) -> DataFrame:
+def embedded_symbol_boost(spark: SparkSession, d: str) -> DataFrame:
     chunks, scored, best = _held(spark, d)
     return rounded(ranking.boost_embedded_symbols(scored, chunks, f"who calls {_defined(scored)} first", best).select("chunk_id", "score"), "score")
 
@@ -553,7 +503,7 @@ _LOWER_STEM = f"lower({sql_stem('file_path')})"
     p AS (SELECT count(*) > 0 AS prefer FROM s, w WHERE s IN ({_HINTS}) AND contains(w, s))
     SELECT chunk_id, round(score + CASE WHEN translate(s, '-_', '') = translate(w, '-_', '') AND NOT (s = w AND prefer AND w NOT IN ({_HINTS})) THEN 0.75 * mx ELSE 0 END, 6)::DOUBLE AS score FROM s, w, p, mx"""
 )
-def exact_stem_boost_tables(spark: SparkSession, d: str) -> DataFrame:
+def exact_stem_boost(spark: SparkSession, d: str) -> DataFrame:
     """The stem of the best candidate whose stem is a word; ``main`` is too generic to count."""
     _, scored, best = _held(spark, d)
     rows = scored.withColumn("s", F.lower(paths.stem(F.col("file_path")))).where(F.col("s").rlike(_STEM_WORD) & ~F.col("s").isin(sorted(ranking.GENERIC_STEMS)))
@@ -565,20 +515,20 @@ def exact_stem_boost_tables(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {_TOP100}, g AS (SELECT chunk_id, mx, CASE WHEN regexp_matches(content, {q(ranking.PACKAGE_ENTRY)}) OR regexp_matches(content, {q(ranking.ENTRY_CODE)}) THEN 2.5 ELSE 0 END AS gain FROM corpus, mx)
     SELECT chunk_id, round(coalesce(cand.score, 0) + gain::DOUBLE * mx, 6) AS score FROM g LEFT JOIN cand USING (chunk_id) WHERE cand.score IS NOT NULL OR gain * mx <> 0"""
 )
-def location_boost_tables(spark: SparkSession, d: str) -> DataFrame:
+def location_boost(spark: SparkSession, d: str) -> DataFrame:
     chunks, scored, best = _held(spark, d)
     return rounded(ranking.boost_locations(scored, chunks, _PLACE, best).select("chunk_id", "score"), "score")
 
 
 @query(f"WITH {_CANDIDATES} SELECT chunk_id, round(score * CASE WHEN regexp_matches(replace(file_path, chr(92), '/'), {q(ranking.INSTALLER_PATH)}) THEN 0.35 ELSE 1 END, 6)::DOUBLE AS score FROM cand")
-def installer_penalty_tables(spark: SparkSession, d: str) -> DataFrame:
+def installer_penalty(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ranking.penalize_installer(_candidates(spark, d), _PLACE).select("chunk_id", "score"), "score")
 
 
 @query()
 def hybrid_reranked(spark: SparkSession, d: str) -> DataFrame:
     """The whole search over the chunks and their int8 vectors through an index."""
-    chunks = corpus(spark, d)
+    chunks = corpus_rows(spark, d)
     index = Index.from_chunks(chunks, vectors=int8_vectors(spark, d).where(F.exists("codes", lambda c: c != 0)), embedder=_FixedQuery())
     return rounded(index.search(KEYWORDS, 10).select("chunk_id", "file_path", "score"), "score")
 
@@ -586,14 +536,14 @@ def hybrid_reranked(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def hybrid_filtered(spark: SparkSession, d: str) -> DataFrame:
     """The same for a symbol, within one language."""
-    index = Index.from_chunks(corpus(spark, d), vectors=int8_vectors(spark, d), embedder=_FixedQuery())
+    index = Index.from_chunks(corpus_rows(spark, d), vectors=int8_vectors(spark, d), embedder=_FixedQuery())
     return rounded(index.search(SYMBOL, 10, languages=["go"]).select("chunk_id", "file_path", "language", "score"), "score")
 
 
 @query()
 def hybrid_filtered_defined(spark: SparkSession, d: str) -> DataFrame:
     """The same for the symbol most often defined in the chunks of a language."""
-    chunks = corpus(spark, d)
+    chunks = corpus_rows(spark, d)
     index = Index.from_chunks(chunks, vectors=int8_vectors(spark, d), embedder=_FixedQuery())
     symbol = _defined(corpus_rows(spark, d).where(navigate.selection(["typescript"])).select("chunk_id", "content").distinct())
     return rounded(index.search(symbol, 10, languages=["typescript"]).select("chunk_id", "file_path", "language", "score"), "score")
@@ -708,7 +658,7 @@ def expand_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return navigate.expand(chunks, path, third["start_line"] + 1).select("chunk_id", "start_line", "is_anchor")
 
 
-_SN = snippet.match_terms(QUESTION)
+_SN = ("flush", "pending", "queue", "scheduler")
 
 
 @query(
@@ -736,8 +686,22 @@ def filter_selector(spark: SparkSession, d: str) -> DataFrame:
 
 # --- sources --------------------------------------------------------------------------------------------------------
 _EXT = r"lower(regexp_extract(regexp_extract(file_path, '([^/]*)$', 1), '(\.[^.]*)$', 1))"
-_LANG = "MAP {" + ", ".join(f"{q(e)}: {q(v)}" for e, v in paths.EXTENSION_LANGUAGE.items()) + "}"
-_CONT = "MAP {" + ", ".join(f"{q(e)}: {q(v)}" for e, v in paths.EXTENSION_CONTENT.items()) + "}"
+_LANG = """MAP {
+    '.py': 'python', '.pyi': 'python', '.js': 'javascript', '.mjs': 'javascript', '.cjs': 'javascript', '.jsx': 'javascript', '.ts': 'typescript', '.tsx':
+    'typescript', '.mts': 'typescript', '.cts': 'typescript', '.go': 'go', '.rs': 'rust', '.java': 'java', '.kt': 'kotlin', '.kts': 'kotlin', '.c': 'c',
+    '.h': 'cpp', '.cpp': 'cpp', '.cc': 'cpp', '.cxx': 'cpp', '.hpp': 'cpp', '.hh': 'cpp', '.hxx': 'cpp', '.h++': 'cpp', '.cs': 'csharp', '.rb': 'ruby',
+    '.php': 'php', '.swift': 'swift', '.scala': 'scala', '.clj': 'clojure', '.cljs': 'clojure', '.ex': 'elixir', '.exs': 'elixir', '.erl': 'erlang',
+    '.hs': 'haskell', '.lua': 'lua', '.sh': 'bash', '.bash': 'bash', '.zsh': 'bash', '.fish': 'fish', '.sql': 'sql', '.r': 'r', '.dart': 'dart', '.zig':
+    'zig', '.vue': 'vue', '.svelte': 'svelte', '.md': 'markdown', '.mdx': 'markdown', '.rst': 'rst', '.txt': 'text', '.json': 'json', '.yaml': 'yaml',
+    '.yml': 'yaml', '.toml': 'toml', '.ini': 'ini', '.cfg': 'ini', '.xml': 'xml', '.html': 'html', '.css': 'css', '.scss': 'scss', '.less': 'less',
+    '.dockerfile': 'dockerfile'}"""
+_CONT = """MAP {
+    '.py': 'code', '.pyi': 'code', '.js': 'code', '.mjs': 'code', '.cjs': 'code', '.jsx': 'code', '.ts': 'code', '.tsx': 'code', '.mts': 'code', '.cts':
+    'code', '.go': 'code', '.rs': 'code', '.java': 'code', '.kt': 'code', '.kts': 'code', '.c': 'code', '.h': 'code', '.cpp': 'code', '.cc': 'code',
+    '.cxx': 'code', '.hpp': 'code', '.hh': 'code', '.hxx': 'code', '.cs': 'code', '.rb': 'code', '.php': 'code', '.swift': 'code', '.scala': 'code',
+    '.lua': 'code', '.sh': 'code', '.bash': 'code', '.zsh': 'code', '.sql': 'code', '.dart': 'code', '.zig': 'code', '.vue': 'code', '.svelte': 'code',
+    '.md': 'docs', '.mdx': 'docs', '.rst': 'docs', '.txt': 'docs', '.json': 'config', '.yaml': 'config', '.yml': 'config', '.toml': 'config', '.ini':
+    'config', '.cfg': 'config', '.xml': 'config'}"""
 
 
 @query(f"WITH {CORPUS}, f AS (SELECT DISTINCT file_path FROM corpus UNION {_SAMPLE}) SELECT file_path, CASE WHEN lower(regexp_extract(file_path, '([^/]*)$', 1)) = 'dockerfile' THEN 'dockerfile' ELSE {_LANG}[{_EXT}] END AS language, {_CONT}[{_EXT}] AS content_type FROM f")
@@ -754,15 +718,21 @@ def scan_filter(spark: SparkSession, d: str) -> DataFrame:
     return scan.accepted(table(spark, d, "source_files").select("repo", "file_path", "size_bytes").distinct())
 
 
-@query()
+@query(
+    "SELECT * FROM (VALUES "
+    + ", ".join(f"({q(p)}, {q(e)}, {q(k)}, {q(g)}, {len(t)}::BIGINT, {q(t)})" for (p, t), (e, k, g) in zip(SCANNED, ((".go", "code", "go"), (".ts", "code", "typescript"), (".json", "config", "json"))))
+    + ") t(file_path, ext, content_type, language, size_bytes, text)"
+)
 def folder_scan(spark: SparkSession, d: str) -> DataFrame:
-    """A folder of small files read back through the scan; its files are made here from the fixture."""
-    root = tempfile.mkdtemp(prefix="lodestone-scan-")
-    for _, path, _, content in FIXTURE:
-        os.makedirs(os.path.dirname(os.path.join(root, path)) or root, exist_ok=True)
-        with open(os.path.join(root, path), "w", encoding="utf-8") as f:
-            f.write(content)
-    return scan.read_folder(spark, root, ("code", "config")).select("file_path", "ext", "content_type", "language", "size_bytes", "text")
+    """A folder of small files read back through the scan; its files are written here into the shared folder."""
+    root = f"{shared_dir(spark)}/scan-{os.urandom(6).hex()}"
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    system = fs_path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for path, content in SCANNED:
+        out = system.create(fs_path(f"{root}/{path}"))
+        out.write(bytearray(content.encode()))
+        out.close()
+    return scan.read_folder(spark, str(system.makeQualified(fs_path(root))), ("code", "config")).select("file_path", "ext", "content_type", "language", "size_bytes", "text")
 
 
 # --- maintenance ------------------------------------------------------------------------------------------------------
@@ -811,8 +781,7 @@ def cache_validity(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {CORPUS}, {sql_bm25(KEYWORDS, sql_enriched())} {_TOP.format(k=10)}")
 def bundle_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Keyword search over an index that was saved and loaded again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-bundle-")
-    path = f"{folder.rstrip('/')}/bundle-{os.urandom(6).hex()}"
+    path = f"{shared_dir(spark)}/bundle-{os.urandom(6).hex()}"
     Index.from_chunks(corpus(spark, d), vectors=int8_vectors(spark, d), embedder=_FixedQuery()).save(path)
     return rounded(Index.load(spark, path, _FixedQuery()).keyword(KEYWORDS, 10), "score")
 

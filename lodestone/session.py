@@ -40,6 +40,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
     settings = {
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.session.timeZone": "UTC",
+        # small files are cut into as many parts as there are cores, at their row groups
+        "spark.sql.files.openCostInBytes": str(256 << 10),
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": os.environ.get("LODESTONE_DRIVER_MEMORY", "8g"),

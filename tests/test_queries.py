@@ -26,7 +26,7 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-BOOSTS = ("symbol_definition_boost_tables", "embedded_symbol_boost_tables", "exact_stem_boost_tables")
+BOOSTS = ("symbol_definition_boost", "embedded_symbol_boost", "exact_stem_boost")
 
 
 @pytest.mark.parametrize("name", BOOSTS)

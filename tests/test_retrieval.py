@@ -155,3 +155,66 @@ def test_special_characters_in_symbols(spark):
     df = spark.createDataFrame([("class operator+ {",), ("class a.b\n",), ("nothing",)], "c string")
     assert [r[0] for r in df.select(ranking.defines(F.col("c"), ["operator+"])).collect()] == [True, False, False]
     assert [r[0] for r in df.select(ranking.defines(F.col("c"), ["a.b"])).collect()] == [False, True, False]
+
+
+# --- goldens of the boosts over ten small chunks ------------------------------------------------------------
+FIXTURE = [
+    (1, "src/auth/session_manager.go", "go", "package auth\nfunc SessionManager(x int) {\n}\n"),
+    (2, "src/auth/login.go", "go", "// uses SessionManager\nfunc login() { SessionManager(1) }\n"),
+    (3, "tests/session_manager_test.go", "go", "func TestSessionManager(t *T) {}\n"),
+    (4, "lib/SessionManagers.py", "python", "class SessionManager:\n    pass\n"),
+    (5, "db/schema.sql", "sql", "create table SessionManager (id int);\n"),
+    (6, "bin/start.js", "javascript", "#!/usr/bin/env node\nasync function main() {}\n"),
+    (7, "src/installer/hooks.ts", "typescript", "export const hook = () => 1;\n"),
+    (8, "package.json", "json", "[package entry] bin: start.js\n"),
+    (9, "src/router.ts", "typescript", "export class Router { route() {} }\n"),
+    (10, "src/session.py", "python", "def session():\n    return SessionManager()\n"),
+]
+HELD = {2: 1.0, 3: 0.8, 7: 0.5, 9: 0.9, 10: 0.4}
+
+
+@pytest.fixture()
+def held(spark):
+    rows = spark.createDataFrame([(i, p, c) for i, p, _, c in FIXTURE], "chunk_id bigint, file_path string, content string")
+    return rows, ranking.with_chunks(spark.createDataFrame(list(HELD.items()), "chunk_id bigint, score double"), rows)
+
+
+def scores(df):
+    return {r["chunk_id"]: round(r["score"], 6) for r in df.collect()}
+
+
+def test_symbol_definitions_gain_and_enter(held):
+    rows, scored = held
+    # the type defined in lib/SessionManagers.py enters, the function in the file named after it too; other definitions only gain
+    want = HELD | {1: 4.5, 4: 4.5}
+    assert scores(ranking.boost_symbol_definitions(scored, rows, "SessionManager", 1.0)) == want
+    assert scores(ranking.boost_symbol_definitions(scored, rows.union(rows), "SessionManager", 1.0)) == want
+
+
+def test_embedded_symbols_gain_half(held):
+    rows, scored = held
+    assert scores(ranking.boost_embedded_symbols(scored, rows, "who calls SessionManager first", 1.0)) == HELD | {1: 2.25}
+
+
+def test_exact_stems(held):
+    rows, scored = held
+    assert scores(ranking.boost_exact_stems(scored, "session login main", 1.0)) == HELD | {2: 1.75, 10: 1.15}
+    # a handler is asked for and there: another equal stem does not count
+    more = scored.union(scored.limit(1).selectExpr("99L", "'src/handler.go'", "''", "0.1D"))
+    assert scores(ranking.boost_exact_stems(more, "login handler", 1.0))[2] == 1.0
+
+
+def test_locations_and_installer(held):
+    rows, scored = held
+    assert scores(ranking.boost_locations(scored, rows, "where is the entry point", 1.0)) == HELD | {6: 2.5, 8: 2.5}
+    assert scores(ranking.penalize_installer(scored, "where is the entry point")) == HELD | {7: 0.175}
+    assert scores(ranking.penalize_installer(scored, "how to install the hook")) == HELD
+
+
+def test_repeated_chunks_count_once_in_the_index(spark):
+    df = auth(spark)
+    for table in (sparse.postings, sparse.lengths):
+        assert sorted(map(tuple, table(sparse.chunk_tokens(df)).collect())) == sorted(map(tuple, table(sparse.chunk_tokens(df.union(df))).collect()))
+    assert max(r["tf"] for r in sparse.postings(sparse.chunk_tokens(df)).collect()) >= 2
+    plan = sparse.postings(sparse.chunk_tokens(df))._jdf.queryExecution().executedPlan().toString()
+    assert not any("content" in line for line in plan.splitlines() if "Exchange" in line)
