@@ -21,9 +21,9 @@ from lodestone.llm.common import text_batches, written
 TRAIN_FILES = 12_000
 TREES, DEPTH = 40, 8
 #: Share of the trees that must call a file machine-made.
-VOTE = 0.6
-#: A file is a data blob if literals make up this share of at least so many bytes of code.
-BLOB_SHARE, BLOB_BYTES = 0.6, 300
+VOTE = 0.75
+#: Files whose code is literals by at least this share serve as examples of data, as data bears no notices.
+DATA_SHARE = 0.6
 
 #: Notices that tools and copied projects leave in comments.
 GENERATED_NOTICE = re.compile(
@@ -49,7 +49,9 @@ _WORD = re.compile(r"\w+")
 _STRING = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'")
 
 SUMS = ["n_bytes", "z_bytes", "n_lines", "n_names", "name_chars", "short_names", "entropy", "comment_bytes", "number_bytes", "long_bytes", "space_bytes", "shapes", "string_bytes"]
-RATIOS = ["compression", "entropy_mean", "name_length", "short_share", "comment_density", "number_share", "long_share", "space_share", "shape_share", "string_share", "line_length", "line_max"]
+RATIOS = ["compression", "entropy_mean", "name_length", "short_share", "comment_density", "number_share", "long_share", "space_share", "shape_share", "string_share", "line_length", "line_max", "literal_share", "literal_bytes"]
+#: What the path says, as further features.
+PATH_FLAGS = ["path_vendored", "path_generated", "path_minified", "path_told"]
 
 
 def _measured(text: str, owner: str) -> list:
@@ -62,10 +64,9 @@ def _measured(text: str, owner: str) -> list:
         kept.append(text[at : m.start()])
         at = m.end()
         hidden, bare, end = False, line.strip(), len(line)
-        if len(line) >= 400 and not bare.startswith("/*!"):  # up to the comment's end; code may stand behind it
-            closing = "*/" if bare.startswith(("/*", "*")) else "-->" if bare.startswith("<!--") else None
-            if closing and closing in line:
-                end = line.index(closing) + len(closing)
+        closing = "*/" if bare.startswith(("/*", "*")) else "-->" if bare.startswith("<!--") else None
+        if closing and closing in line:  # code may stand behind the comment's end
+            end = line.index(closing) + len(closing)
             bare = line[:end].strip()
         if GENERATED_NOTICE.search(bare):
             notice, hidden = notice | 1, True
@@ -79,12 +80,9 @@ def _measured(text: str, owner: str) -> list:
                 own = 1
             else:
                 notice |= 8
-        if hidden:
-            kept.append(line[end:])
-        else:
-            comment += len(line)
-            if len(line) > 400:  # code behind a comment's opening on one line
-                kept.append(line)
+        kept.append(line[end:])
+        if not hidden:
+            comment += end
     kept.append(text[at:])
     code = "".join(kept)
     data = code.encode("utf-8", "surrogatepass")
@@ -144,32 +142,34 @@ def file_measures(chunks: DataFrame) -> DataFrame:
         share("short_names", "n_names").alias("short_share"), (F.col("comment_bytes") / (F.col("n_bytes") + F.col("comment_bytes") + 1)).alias("comment_density"),
         share("number_bytes", "n_bytes").alias("number_share"), share("long_bytes", "n_bytes").alias("long_share"), share("space_bytes", "n_bytes").alias("space_share"),
         share("shapes", "n_lines").alias("shape_share"), share("string_bytes", "n_bytes").alias("string_share"), share("n_bytes", "n_lines").alias("line_length"), "line_max",
+        F.when(F.col("n_bytes") > 0, (F.col("number_bytes") + F.col("long_bytes")) / F.col("n_bytes")).otherwise(0.0).alias("literal_share"), (F.col("number_bytes") + F.col("long_bytes")).alias("literal_bytes"),
+        *[F.col("file_path").rlike(pattern).cast("double").alias(name) for name, pattern in zip(PATH_FLAGS, (VENDORED_PATH, GENERATED_PATH, MINIFIED_PATH, f"{VENDORED_PATH}|{GENERATED_PATH}|{MINIFIED_PATH}"))],
     )
 
 
 def machine_made(chunks: DataFrame, train_files: int = TRAIN_FILES, vote: float = VOTE) -> DataFrame:
-    """Every file with what speaks against hand-written source.
+    """Every file with the forest's vote on it: ``repo, file_path, notice, probability, by_vote, machine_made`` and the features.
 
-    Out come ``repo, file_path, notice, path_kind, blob, probability,
-    machine_made``. A random forest is trained on files labelled by their header
-    notices (a tool's notice: machine-made; the repository's own licence header
-    and no notice: hand-written), with the notices hidden from its features. It
-    scores every file. A notice or path that names a tool or a third party, and a
-    body of literals, count beside its vote, because a copied file looks like any
-    hand-written one and data carries no notice.
+    A random forest is trained on files labelled by their header notices (a tool's
+    notice, a copy's or another owner's: machine-made; the repository's own licence
+    header and no notice: hand-written), with the notices hidden from its features,
+    on files of literals only, as data bears no notice, and on files whose path names
+    a tool or a folder for copies, which teach it what the path is worth. Features are measures of
+    the text and what the path says. It scores every file and decides all that bear
+    no notice (``by_vote``); a file with a notice keeps what the notice says.
 
-    Empty files have a row and are hand-written unless their path says otherwise;
+    Empty files have a row and are hand-written unless their path decides otherwise;
     a null repository is a repository of its own; files without a path are
     ignored. Without labelled files of both kinds the vote is 0 for all files.
     """
     files = written(file_measures(chunks), "files")
-    path = F.col("file_path")
-    kind = F.when(path.rlike(VENDORED_PATH), "vendored").when(path.rlike(GENERATED_PATH), "generated").when(path.rlike(MINIFIED_PATH), "minified")
-    files = files.withColumn("path_kind", kind)
-    label = F.when(F.col("notice").bitwiseAND(5) != 0, 1.0).when((F.col("notice") == 0) & (F.col("own") == 1) & F.col("path_kind").isNull(), 0.0)
+    data = (F.col("literal_share") >= DATA_SHARE) & (F.col("notice") == 0)
+    # a copy looks like any hand-written file, so copies are examples only where their path says so
+    told = (F.col("path_told") == 1) & (F.col("own") == 0)
+    label = F.when((F.col("notice").bitwiseAND(5) != 0) | told | data, 1.0).when((F.col("notice") == 0) & (F.col("own") == 1), 0.0)
     labelled = files.withColumn("label", label).where("label is not null and n_bytes > 0")
     counts = {r[0]: r[1] for r in labelled.groupBy("label").count().collect()}
-    features = VectorAssembler(inputCols=RATIOS, outputCol="features", handleInvalid="keep")
+    features = VectorAssembler(inputCols=RATIOS + PATH_FLAGS, outputCol="features", handleInvalid="keep")
     if len(counts) == 2:
         # the same number of either kind at most, chosen by a hash of the path
         def chosen(v: float) -> DataFrame:
@@ -186,6 +186,5 @@ def machine_made(chunks: DataFrame, train_files: int = TRAIN_FILES, vote: float
         scored = model.transform(features.transform(files)).withColumn("vote", vector_to_array("probability")[1]).drop("probability")
     else:
         scored = files.withColumn("vote", F.lit(0.0))
-    blob = (F.greatest(F.col("number_share"), F.col("long_share"), F.col("number_share") + F.col("long_share")) >= BLOB_SHARE) & (F.col("n_bytes") >= BLOB_BYTES)
-    found = (F.col("notice") != 0) | F.col("path_kind").isNotNull() | blob | ((F.col("vote") >= vote) & (F.col("n_bytes") > 0))
-    return scored.select("repo", "file_path", "notice", "path_kind", blob.alias("blob"), F.col("vote").alias("probability"), found.alias("machine_made"), *RATIOS, "n_bytes", "own")
+    by_vote = (F.col("notice") == 0) & (F.col("vote") >= vote)
+    return scored.select("repo", "file_path", "notice", F.col("vote").alias("probability"), by_vote.alias("by_vote"), ((F.col("notice") != 0) | by_vote).alias("machine_made"), *RATIOS, *PATH_FLAGS, "n_bytes", "own")

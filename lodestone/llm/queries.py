@@ -81,7 +81,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_files(spark: SparkSession, d: str) -> DataFrame:
-    return provenance.machine_made(table(spark, d, "chunks")).select("repo", "file_path", "notice", "path_kind", "blob", "probability", "machine_made")
+    return provenance.machine_made(table(spark, d, "chunks")).select("repo", "file_path", "notice", "probability", "by_vote", "machine_made")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

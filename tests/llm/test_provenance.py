@@ -16,9 +16,18 @@ def made(rng):
     return "\n".join(f"FIELD_{i} = Descriptor(name='f{i}', number={rng.randrange(900)}, type={rng.randrange(9)})" for i in range(rng.randrange(15, 60)))
 
 
+def data(rng):
+    return "T = [" + ", ".join(hex(rng.randrange(1 << 32)) for _ in range(rng.randrange(60, 300))) + "]"
+
+
 def tables(n=60, seed=1):
+    """Hand-written and generated files, copies in folders for them (a notice in every second one), minified files and data."""
     rng = random.Random(seed)
     rows, truth = [], {}
+    for i in range(n // 2):
+        for j, (path, text) in enumerate(((f"vendor/x{i}/a.py", ("# Copied verbatim from upstream.\n" if i % 2 else "") + hand(rng)), (f"web/a{i}.min.js", ("/*! x */" if i % 2 else "") + made(rng).replace("\n", ";")), (f"data/t{i}.py", data(rng)), (f"gen/x{i}/b_pb2.py", ("# Generated by y. DO NOT EDIT.\n" if i % 2 else "") + made(rng)))):
+            rows.append((2000 + 10 * i + j, "r", path, text))
+            truth[path] = True
     for i in range(n):
         rows.append((i, "r", f"src/hand{i}.py", f"# Copyright the r contributors.\n{hand(rng)}" if i % 2 else hand(rng)))
         truth[f"src/hand{i}.py"] = False
@@ -38,6 +47,14 @@ def test_held_out_accuracy(spark):
     assert sum(got[p] == t for p, t in truth.items()) >= 0.95 * len(truth)
 
 
+def test_the_forest_decides_what_bears_no_notice(spark):
+    rows, truth = tables(seed=4)
+    got = {r["file_path"]: r for r in P.machine_made(spark.createDataFrame(rows, SCHEMA)).collect()}
+    silent = [p for p, t in truth.items() if t and not got[p]["notice"]]
+    assert len(silent) > 60 and sum(got[p]["by_vote"] for p in silent) >= 0.95 * len(silent)
+    assert all(r["machine_made"] == (bool(r["notice"]) or r["by_vote"]) and r["by_vote"] == (not r["notice"] and r["probability"] >= P.VOTE) for r in got.values())
+
+
 def test_evidence(spark):
     rng = random.Random(2)
     code = hand(rng)
@@ -60,7 +77,7 @@ def test_evidence(spark):
         "src/empty.py": ("", False),
         "src/null.py": (None, False),
     }
-    base, _ = tables(30)
+    base, _ = tables(60)
     rows = base + [(5000 + i, "r", p, t) for i, (p, (t, _)) in enumerate(cases.items())]
     got = verdicts(spark, rows)
     assert {p: got[p] for p in cases} == {p: v for p, (_, v) in cases.items()}
