@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import label_key, text_batches, tokenizer_folder, written
@@ -18,6 +18,8 @@ DEFAULT_REPEATS = 1
 #: Residuals that one task of the reduction tree combines on average.
 FAN_IN = 64
 MAX_TARGETS = 10_000
+#: Documents (four numbers and a label each) of a source that one task settles on average.
+GROUP_ROWS = 100_000
 
 
 def tokenizer_sizes(documents: DataFrame, ranks_path: str | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -75,36 +77,108 @@ def plan_uses(available: dict[str, int], targets: dict[str, tuple[float, int]],
     return {s: tokens[s] / available[s] for s in tokens}
 
 
-def _pivot(ids: np.ndarray, weights: np.ndarray, parts: np.ndarray, seed: int) -> tuple[np.ndarray, int]:
-    """Round fractional uses pairwise; returns the uses and the index left fractional (-1: none).
+def _draws(seed: int, *ids: np.ndarray) -> np.ndarray:
+    """Numbers in [0, 1) by documents or pairs of documents."""
+    value = np.full(len(ids[0]), seed, np.uint64)
+    for part in ids:
+        value = mix(part.astype(np.uint64) ^ mix(value))
+    return (value >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+
+
+def _paired(p: np.ndarray, among: np.ndarray, sources: np.ndarray, ids: np.ndarray, weights: np.ndarray, seed: int) -> None:
+    """Pivotal steps over the open documents of ``among``, all pairs at once, until each source has one at most."""
+    for turn in range(64):
+        p[p < 1e-9], p[p > 1 - 1e-9] = 0.0, 1.0
+        o = among[(p[among] > 0) & (p[among] < 1)]
+        o = o[np.lexsort((ids[o], weights[o], sources[o]))]
+        s = sources[o]
+        place = np.arange(len(o)) - np.searchsorted(s, s, "left")
+        left = np.flatnonzero((place[:-1] % 2 == 0) & (s[1:] == s[:-1]))
+        if not len(left):
+            return
+        a, b = o[left], o[left + 1]
+        up = np.minimum(weights[a] * (1 - p[a]), weights[b] * p[b])
+        down = np.minimum(weights[a] * p[a], weights[b] * (1 - p[b]))
+        move = np.where(_draws(seed + turn, ids[a], ids[b]) * (up + down) < down, up, -down)
+        p[a] += move / weights[a]
+        p[b] -= move / weights[b]
+
+
+def settle(sources: np.ndarray, ids: np.ndarray, weights: np.ndarray, parts: np.ndarray, seed: int) -> np.ndarray:
+    """Round fractional uses until each source (a small number) has one open document at most, a short one where it has short ones.
 
     Of two documents one gives up probability to the other so that their expected
-    tokens stay the same, until one of them is settled at 0 or 1. The direction is
-    drawn so that each keeps its expected use.
+    tokens stay the same, until one of them is settled at 0 or 1; the direction is
+    drawn so that each keeps its expected use. Classes of length (powers of two) are
+    settled from the longest on: what a class leaves open is drawn, and the shorter
+    documents are planned anew for the tokens this adds or takes, if they can make up
+    for both outcomes. Documents without tokens get 0.
     """
-    draws = mix(mix(ids.astype(np.uint64)) ^ np.uint64(seed)) >> np.uint64(11)
-    random = draws.astype(np.float64) / float(1 << 53)
-    p = parts.astype(np.float64).copy()
-    held = -1
-    for i in range(len(p)):
-        if not 1e-9 < p[i] < 1 - 1e-9:
-            p[i] = round(p[i])
-            continue
-        if held < 0:
-            held = i
-            continue
-        a, b = weights[held], weights[i]
-        up = min(a * (1 - p[held]), b * p[i])
-        down = min(a * p[held], b * (1 - p[i]))
-        move = up if random[i] * (up + down) < down else -down
-        p[held] += move / a
-        p[i] -= move / b
-        for j in (held, i):
-            if p[j] < 1e-9 or p[j] > 1 - 1e-9:
-                p[j] = round(p[j])
-        open_ = [j for j in (held, i) if 0 < p[j] < 1]
-        held = open_[0] if open_ else -1
-    return p, held
+    p = np.where(weights > 0, parts, 0.0)
+    n = int(sources.max(initial=-1)) + 1
+    length = np.log2(np.maximum(weights, 1)).astype(np.int64)
+    for c in np.unique(length)[::-1]:
+        mine = np.flatnonzero(length == c)
+        _paired(p, mine, sources, ids, weights, seed + 100 * int(c))
+        o = mine[(p[mine] > 0) & (p[mine] < 1)]
+        shorter = np.flatnonzero((length < c) & (p > 0) & (p < 1))
+        s = sources[o]
+        # each gives way by p(1 - p) of its tokens, up or down alike, so that all keep their expected use
+        sway = weights[shorter] * p[shorter] * (1 - p[shorter])
+        total = np.bincount(sources[shorter], weights=sway, minlength=n)
+        fits = weights[o] * np.maximum(p[o], 1 - p[o]) <= total[s]
+        o = o[fits]
+        taken = _draws(seed + 7, ids[o]) < p[o]
+        gained = np.zeros(n)
+        gained[sources[o]] = weights[o] * (taken - p[o])
+        p[o] = taken
+        change = np.divide(gained, total, out=np.zeros(n), where=total > 0)
+        p[shorter] -= change[sources[shorter]] * p[shorter] * (1 - p[shorter])
+    _paired(p, np.arange(len(p)), sources, ids, weights, seed + 9_999)
+    return p
+
+
+_STATE = "doc_id bigint, source string, source_key string, n_tokens bigint, base int, part double"
+
+
+def _rounded(rows: DataFrame, n_sources: int, seed: int) -> DataFrame:
+    """``_STATE`` of ``rows`` with their ``expected`` uses, ``part`` being 0 or 1; rows are worked on by source and ``salt``."""
+    columns = ["doc_id", "source", "source_key", "n_tokens", "base", "part"]
+
+    def settled(frame: pd.DataFrame) -> pd.DataFrame:
+        codes = pd.factorize(frame["source_key"])[0]
+        return frame.assign(part=settle(codes, frame["doc_id"].to_numpy(np.int64), frame["n_tokens"].to_numpy(np.float64), frame["part"].to_numpy(np.float64), seed))
+
+    def first(frame: pd.DataFrame) -> pd.DataFrame:
+        whole = np.floor(frame["expected"] + 1e-9)
+        return settled(frame.assign(base=whole.astype(np.int32), part=np.clip(frame["expected"] - whole, 0, 1))[columns])
+
+    def combined_by(last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def combine(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = settled(frame[columns])
+            if not last:
+                return frame
+            draw = mix(frame["doc_id"].to_numpy(np.int64).astype(np.uint64) ^ np.uint64(seed + 1)) >> np.uint64(11)
+            part = frame["part"].to_numpy()
+            up = (draw.astype(np.float64) / float(1 << 53) < part).astype(float)
+            return frame.assign(part=np.where((part > 0) & (part < 1), up, part))
+
+        return combine
+
+    narrow = rows.select("doc_id", "source", "source_key", "n_tokens", "expected", "salt")
+    state = written(narrow.groupBy("source_key", "salt").applyInPandas(first, _STATE), "mixed")
+    done, open_rows = state.where("part = 0 or part = 1"), state.where("part > 0 and part < 1")
+    while n := open_rows.count():
+        blocks = max(1, n // (FAN_IN * max(1, n_sources)))
+        last = blocks == 1
+
+        block = F.pmod(F.xxhash64("doc_id", F.lit(n)), F.lit(blocks))
+        combined = written(open_rows.groupBy("source_key", block.alias("block")).applyInPandas(combined_by(last), _STATE), "mixed")
+        done = done.unionByName(combined.where("part = 0 or part = 1"))
+        if last:
+            break
+        open_rows = combined.where("part > 0 and part < 1")
+    return done
 
 
 def mix_sources(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
@@ -119,10 +193,11 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, total_tokens: float | None
     the whole part of their expected number.
 
     Every document is used the whole part of the expected number and, by pivotal
-    rounding, once more or not. Each partition settles all but at most one
-    document per source; those residuals are combined by a tree of grouped rounds
-    until one per source is left, so the tokens of a source deviate from plan by
-    less than one document.
+    rounding, once more or not. Groups of a source's documents settle all but at most one
+    each, long ones first, so that a short one stays open where there
+    is one; those residuals are combined by a tree of grouped rounds until one per
+    source is left, which is drawn. The tokens of a source deviate from plan by less
+    than that document.
     """
     spark = sizes.sparkSession
     wanted = targets.where("source is not null and target_share is not null").groupBy(label_key(F.col("source")).alias("source_key")).agg(F.sum("target_share").alias("target_share"), F.min(F.coalesce("max_repeats", F.lit(DEFAULT_REPEATS))).alias("max_repeats"))
@@ -132,73 +207,18 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, total_tokens: float | None
     goal = {r["source_key"]: (float(r["target_share"]), int(r["max_repeats"])) for r in rows}
     sizes = written(sizes, "sizes")
     inside = sizes.where(F.col("source_key").isin(list(goal)) if goal else F.lit(False))
-    available = {r[0]: int(r[1] or 0) for r in inside.groupBy("source_key").agg(F.sum("n_tokens")).collect()}
+    there = inside.groupBy("source_key").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    available = {r["source_key"]: int(r["n"] or 0) for r in there}
+    groups = {r["source_key"]: -(-r["rows"] // GROUP_ROWS) for r in there}
     uses = plan_uses(available, goal, total_tokens)
-    expected = F.create_map(*[F.lit(x) for s, u in uses.items() for x in (s, float(u))]) if uses else F.create_map(F.lit(""), F.lit(0.0))
-    rows_in = inside.withColumn("expected", F.coalesce(expected[F.col("source_key")], F.lit(0.0)))
-    schema = "doc_id bigint, source string, source_key string, n_tokens bigint, base int, part double"
-
-    columns = ["doc_id", "source", "source_key", "n_tokens", "base", "part"]
-
-    def settle(frame: pd.DataFrame) -> pd.DataFrame:
-        """``part`` becomes 0 or 1 but for at most one row per source."""
-        # long documents first, so that what stays open in the end is short
-        frame = frame.sort_values(["n_tokens", "doc_id"], ascending=[False, True]).reset_index(drop=True)
-        ids, weights = frame["doc_id"].to_numpy(np.int64), frame["n_tokens"].to_numpy(np.float64)
-        part = frame["part"].to_numpy(np.float64).copy()
-        part[weights <= 0] = 0.0
-        for _, at in frame.groupby("source_key", sort=True).indices.items():
-            part[at] = _pivot(ids[at], weights[at], part[at], seed)[0]
-        return frame.assign(part=part)
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried: pd.DataFrame | None = None
-        names = ["doc_id", "source", "source_key", "n_tokens", "base", "part"]
-        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.float64()]
-
-        def batch_of(frame: pd.DataFrame) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(frame[c], t, from_pandas=True) for c, t in zip(names, types)], names=names)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            frame = batch.to_pandas()
-            whole = np.floor(frame["expected"] + 1e-9)
-            frame = frame.assign(base=whole.astype(np.int32), part=np.clip(frame["expected"] - whole, 0, 1)).drop(columns="expected")
-            frame = settle(frame if carried is None else pd.concat([carried, frame]))
-            open_ = (frame["part"] > 0) & (frame["part"] < 1)
-            carried = frame[open_]
-            yield batch_of(frame[~open_])
-        if carried is not None and len(carried):
-            yield batch_of(carried)
-
-    state = written(rows_in.select("doc_id", "source", "source_key", "n_tokens", "expected").mapInArrow(first, schema), "mixed")
-    done = state.where("part = 0 or part = 1")
-    open_rows = state.where("part > 0 and part < 1")
-    while True:
-        n = open_rows.count()
-        if not n:
-            break
-        blocks = max(1, n // (FAN_IN * max(1, len(uses))))
-        last = blocks == 1
 
-        def combine(frame: pd.DataFrame) -> pd.DataFrame:
-            return draw_last(settle(frame[columns]))
+    def by_source(values: dict[str, float]) -> Column:
+        """A number per source; there are MAX_TARGETS at most."""
+        return F.coalesce(F.create_map(*[F.lit(x) for s, v in values.items() for x in (s, float(v))])[F.col("source_key")], F.lit(0.0)) if values else F.lit(0.0)
 
-        def draw_last(frame: pd.DataFrame, last: bool = last) -> pd.DataFrame:
-            if not last:
-                return frame
-            draw = mix(frame["doc_id"].to_numpy(np.int64).astype(np.uint64) ^ np.uint64(seed + 1)) >> np.uint64(11)
-            part = frame["part"].to_numpy()
-            up = (draw.astype(np.float64) / float(1 << 53) < part).astype(float)
-            return frame.assign(part=np.where((part > 0) & (part < 1), up, part))
-
-        block = F.pmod(F.xxhash64("doc_id", F.lit(n)), F.lit(blocks))
-        combined = written(open_rows.groupBy("source_key", block.alias("block")).applyInPandas(combine, schema), "mixed")
-        done = done.unionByName(combined.where("part = 0 or part = 1"))
-        if last:
-            break
-        open_rows = combined.where("part > 0 and part < 1")
+    # large sources fall into groups of about GROUP_ROWS documents, small ones stay together
+    salt = F.pmod(F.xxhash64("doc_id"), F.greatest(by_source(groups).cast("bigint"), F.lit(1)))
+    done = _rounded(inside.withColumn("expected", by_source(uses)).withColumn("salt", salt), len(uses), seed)
     chosen = done.select("doc_id", "source", "source_key", "n_tokens", (F.col("base") + F.col("part")).cast("int").alias("uses")).where("uses > 0")
     used = chosen.groupBy("source_key").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("used_tokens"), F.count(F.lit(1)).alias("n_documents"), F.max("uses").alias("most_uses"))
     whole = used.agg(F.sum("used_tokens").alias("whole"))

@@ -22,21 +22,37 @@ def test_pivot_keeps_tokens_and_expectation():
     p = rng.uniform(0.05, 0.95, 40)
     taken = np.zeros(40)
     for seed in range(400):
-        out, held = M._pivot(np.arange(40), w, p, seed)
-        fractional = [i for i in range(40) if 0 < out[i] < 1]
-        assert fractional == ([held] if held >= 0 else [])
+        out = M.settle(np.zeros(40, int), np.arange(40), w, p, seed)
+        assert ((out > 0) & (out < 1)).sum() <= 1
         assert np.isclose((out * w).sum(), (p * w).sum())
         taken += out
     assert np.abs(taken / 400 - p).max() < 0.12
+    two = M.settle(np.arange(40) % 2, np.arange(40), np.where(np.arange(40) < 4, 0, w), p, 1)
+    assert (two[:4] == 0).all() and all(((two[s::2] > 0) & (two[s::2] < 1)).sum() <= 1 for s in (0, 1))
+
+
+@pytest.mark.parametrize("long_first", [True, False])
+def test_a_very_long_document_leaves_no_gap(spark, long_first):
+    rows = [(i, s, s, 100) for s, at in (("a", 0), ("b", 10_000)) for i in range(at, at + 3000)] + [(99_000, "a", "a", 10_000), (99_001, "b", "b", 10_000)]
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], T)
+    taken = []
+    for seed in range(6):
+        df = spark.createDataFrame(rows[::-1] if long_first else rows, S)
+        mixed, shares = M.mix_sources(df, targets, total_tokens=200_000, seed=seed)
+        for r in shares.collect():
+            assert abs(r["used_tokens"] - 100_000) <= 0.01 * 100_000
+        taken += [r["doc_id"] for r in mixed.where("n_tokens > 100").collect()]
+    assert 0 < len(taken) < 12
 
 
 def sizes(spark, rows, parts=7):
     return spark.createDataFrame(rows, S).repartition(parts)
 
 
-@pytest.mark.parametrize("fan", [2, 64])
-def test_shares_and_caps(spark, monkeypatch, fan):
+@pytest.mark.parametrize(("fan", "group"), [(2, 20), (64, 100_000)])
+def test_shares_and_caps(spark, monkeypatch, fan, group):
     monkeypatch.setattr(M, "FAN_IN", fan)
+    monkeypatch.setattr(M, "GROUP_ROWS", group)
     rng = np.random.default_rng(2)
     rows = [(i, "big", "big", int(rng.integers(1, 60))) for i in range(600)] + [(1000 + i, " Small", "small", int(rng.integers(1, 60))) for i in range(20)] + [(2000 + i, "other", "other", 10) for i in range(20)] + [(3000, None, None, 5), (3001, "big", "big", 0)]
     targets = spark.createDataFrame([("big", 0.6, 1), ("small", 0.3, 3), ("SMALL", 0.1, None), ("none", 0.1, 2)], T)
