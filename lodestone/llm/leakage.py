@@ -1,7 +1,8 @@
-"""Passages of held-out items inside documents, found by winnowing."""
+"""Passages of held-out items inside documents: a join of winnowed fingerprints."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,13 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import text_batches
+from lodestone.llm.common import text_batches, written
 from lodestone.llm.fingerprints import grams, unicode_word_hashes, winnow
 
 SPAN_WORDS = 12
 GRAM_WORDS = 6
-#: Words of held-out items that are held in a worker at a time (8 bytes each and as much for fingerprints).
-BLOCK_WORDS = 2_000_000
+#: Bits of the filter over the items' fingerprints: sixteen for each, within these powers of two (16 MB at most).
+LEAST_BITS, MOST_BITS = 13, 27
+#: Fingerprints with more documents than this are joined in SALTS parts.
+HOT_ROWS, SALTS = 200_000, 64
+
+_FINGERPRINTS = "id bigint, hash bigint, around binary"
 
 
 def _pack(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -25,75 +30,121 @@ def _pack(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return words, np.repeat(np.arange(len(texts)), sizes)
 
 
-def _runs(a: np.ndarray, ra: np.ndarray, ia: np.ndarray, b: np.ndarray, rb: np.ndarray, ib: np.ndarray, step: int) -> np.ndarray:
-    """How many words agree from ``ia``/``ib`` on in direction ``step`` within both rows, at most SPAN_WORDS."""
-    n = np.zeros(len(ia), np.int64)
-    going = np.ones(len(ia), bool)
-    for j in range(SPAN_WORDS):
-        x, y = ia + step * j, ib + step * j
-        going &= (x >= 0) & (x < len(a)) & (y >= 0) & (y < len(b))
-        xs, ys = np.clip(x, 0, len(a) - 1), np.clip(y, 0, len(b) - 1)
-        going &= (a[xs] == b[ys]) & (ra[xs] == ra[ia]) & (rb[ys] == rb[ib])
-        if not going.any():
-            break
-        n += going
-    return n
+def _positions(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of the filter for each fingerprint, from its upper and its lower half."""
+    h = hashes.view(np.uint64)
+    mask = np.uint64((1 << bits) - 1)
+    return (h >> np.uint64(37)) & mask, h & mask
+
 
+def _fingerprints(texts: DataFrame, span: int, gram: int, outside: int, filter_: tuple | None = None) -> DataFrame:
+    """``(id, hash, around)`` of ``texts(id, text)``: each fingerprint with the words up to ``span - gram`` before and after it.
 
-def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", span: int = SPAN_WORDS, gram: int = GRAM_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+    Equal fingerprints of one text with the same surroundings are one row, so a run
+    of one word has a few rows however long it is. ``outside`` stands for words
+    beyond the text's ends; ``filter_`` (bits, broadcast words) drops what no item has.
+    """
+    side, window = span - gram, span - gram + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches, 2 << 20):
+            words, rows = _pack(batch.column(1).to_pylist())
+            h, _, at = grams(words, rows, gram)
+            kept = winnow(h, rows[at], window)
+            h, at = h[kept], at[kept]
+            if filter_ is not None:
+                bits, held = filter_[0], filter_[1].value
+                hit = np.ones(len(h), bool)
+                for p in _positions(h, bits):
+                    hit &= (held[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+                h, at = h[hit], at[hit]
+            if not len(h):
+                continue
+            place = at[:, None] + np.arange(-side, gram + side)
+            inside = (place >= 0) & (place < len(words))
+            place = np.clip(place, 0, len(words) - 1)
+            around = np.where(inside & (rows[place] == rows[at][:, None]), words[place], np.uint64(outside))
+            # one row for equal surroundings within a text
+            key = np.zeros(len(at), np.uint64)
+            for column in around.T:
+                key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
+                key ^= key >> np.uint64(29)
+            first = np.unique(np.stack([rows[at].astype(np.uint64), key]), axis=1, return_index=True)[1]
+            packed = np.ascontiguousarray(around[first])
+            binary = pa.FixedSizeBinaryArray.from_buffers(pa.binary(packed.shape[1] * 8), len(first), [None, pa.py_buffer(packed)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[at[first]])), pa.array(h[first].view(np.int64)), binary], names=["id", "hash", "around"])
+
+    return texts.where("text is not null").mapInArrow(run, _FINGERPRINTS)
+
+
+def _filter_words(items: DataFrame) -> tuple[int, np.ndarray]:
+    """The filter over the items' fingerprints as 64-bit words: of a bounded size, whatever their number."""
+    n = items.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, 16 * n)))))
+    mask = (1 << bits) - 1
+    at = items.select(F.explode(F.array(F.shiftrightunsigned("hash", 37).bitwiseAND(F.lit(mask)), F.col("hash").bitwiseAND(F.lit(mask)))).alias("p"))
+    words = at.groupBy(F.shiftright("p", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits"))
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    rows = words.toArrow()
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return bits, out
+
+
+def matches(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", span: int = SPAN_WORDS, gram: int = GRAM_WORDS) -> tuple[DataFrame, DataFrame]:
+    """Verified ``(doc_id, item_id, hash)`` and the items' fingerprints ``(id, hash, around)``."""
+    spark = documents.sparkSession
+    side = span - gram
+    held = written(_fingerprints(items.select(F.col(item_id).cast("bigint").alias("id"), F.col(text).alias("text")), span, gram, 2), "items")
+    bits, words = _filter_words(held)
+    docs = documents.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
+    hits = written(_fingerprints(docs, span, gram, 1, (bits, spark.sparkContext.broadcast(words))), "hits").withColumnRenamed("id", "doc_id").withColumnRenamed("around", "doc_around")
+    # fingerprints that a great many documents share are spread over salts, on the other side they stand once per salt
+    hot = hits.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS).select("hash", F.lit(True).alias("hot"))
+    left = hits.join(hot, "hash", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0).cast("bigint"))).drop("hot")
+    copies = F.when(F.col("hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))
+    right = held.join(hot, "hash", "left").select("hash", F.col("id").alias("item_id"), F.col("around").alias("item_around"), F.explode(copies).alias("salt"))
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = (2 * side + gram) * 8
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, width // 8) for i in (3, 4))
+            same = a == b
+            before = np.logical_and.accumulate(same[:, :side][:, ::-1], axis=1).sum(axis=1)
+            after = np.logical_and.accumulate(same[:, side + gram :], axis=1).sum(axis=1)
+            good = same[:, side : side + gram].all(axis=1) & (before + gram + after >= span)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:3]], names=["doc_id", "item_id", "hash"])
+
+    pairs = left.join(right, ["hash", "salt"]).select("doc_id", "item_id", "hash", "doc_around", "item_around")
+    return pairs.mapInArrow(verified, "doc_id bigint, item_id bigint, hash bigint"), held
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, **options) -> DataFrame:
     """``(doc_id, item_id)``: documents holding ``span`` consecutive words of an item as consecutive words.
 
     Words are the longest runs of letters and digits, case-folded. Both sides
     keep the least hash of ``gram``-word sequences in every window of
     ``span - gram + 1``; a shared span shares such a window and hence a
-    fingerprint, and every shared fingerprint is extended word by word.
+    fingerprint. Fingerprints are joined, and every shared one is extended by the
+    words that it carries from before and after it.
+
+    Documents are read once, whatever the number of items; those of their
+    fingerprints that a filter over the items' (of a bounded size) cannot hold are
+    dropped at once, so little is shuffled. The planner broadcasts the items' side
+    only if it is small when it has been made. Null and short texts have no case;
+    repeated ids give one row.
+    """
+    return matches(documents, items, **options)[0].select("doc_id", "item_id").distinct()
+
 
-    The items are the query set. They are taken in blocks of a fixed number of
-    words, each held by the workers, and every document is read whole against
-    every block, so documents are neither shuffled nor collected. Null and short
-    texts have no case; repeated ids give one row.
+def leak_report(documents: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """``(doc_id, item_id, n_found, n_fingerprints, share, whole)``: how much of a leaked item stands in a document.
+
+    ``share`` is that of the item's different fingerprints that shared spans of the document
+    hold; ``whole`` that all do.
     """
-    if span > SPAN_WORDS:
-        raise ValueError(f"spans of at most {SPAN_WORDS} words are extended")
-    window = span - gram + 1
-    spark = documents.sparkSession
-    out: DataFrame | None = None
-    block: list[tuple] = []
-    held = 0
-
-    def against(block: list[tuple]) -> DataFrame:
-        ids = np.array([r[0] for r in block], np.int64)
-        words, rows = _pack([r[1] for r in block])
-        h, hr, at = grams(words, rows, gram)
-        kept = winnow(h, hr, window)
-        kept = kept[np.argsort(h[kept], kind="stable")]
-        packed = spark.sparkContext.broadcast((ids, words, rows, h[kept], at[kept]))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, iw, ir, fp, fp_at = packed.value
-            for batch in text_batches(batches, 2 << 20):
-                words, rows = _pack(batch.column(1).to_pylist())
-                h, hr, at = grams(words, rows, gram)
-                kept = winnow(h, hr, window)
-                lo, hi = np.searchsorted(fp, h[kept], "left"), np.searchsorted(fp, h[kept], "right")
-                n = hi - lo
-                if not n.sum():
-                    continue
-                d = np.repeat(at[kept], n)
-                i = fp_at[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                long = _runs(words, rows, d, iw, ir, i, 1) + _runs(words, rows, d, iw, ir, i, -1) - 1 >= span
-                pairs = np.unique(np.stack([rows[d[long]], ir[i[long]]], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs[:, 0])), pa.array(ids[pairs[:, 1]], pa.int64())], names=["doc_id", "item_id"])
-
-        return documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("text is not null").mapInArrow(run, "doc_id bigint, item_id bigint")
-
-    for row in items.select(F.col(item_id).cast("bigint"), text).toLocalIterator():
-        block.append(row)
-        held += len(row[1] or "") // 2
-        if held > block_words:
-            part = against(block)
-            out, block, held = part if out is None else out.unionByName(part), [], 0
-    if block or out is None:
-        part = against(block)
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    found, held = matches(documents, items, **options)
+    own = held.groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("hash").alias("n_fingerprints"))
+    each = found.groupBy("doc_id", "item_id").agg(F.count_distinct("hash").alias("n_found"))
+    return each.join(own, "item_id").select("doc_id", "item_id", "n_found", "n_fingerprints", (F.col("n_found") / F.col("n_fingerprints")).alias("share"), (F.col("n_found") == F.col("n_fingerprints")).alias("whole"))

@@ -97,6 +97,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each leaked item stands in the document."""
+    return leakage.leak_report(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(mixing.tokenizer_sizes(table(spark, d, "documents")), table(spark, d, "mix_targets"))[0]
 
@@ -118,7 +123,7 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [p1_record_tokens, p1_token_budget, p1_chunk_budget, p1_label_variants, p1_byte_pair_budget, p2_found, p2_pieces, p3_found, p3_nearest, p3_recall, p4_found, p4_files, p5_found, p5_groups, p6_found, p7_mix, p7_shares, p8_found, p8_redacted]
+    found = [p1_record_tokens, p1_token_budget, p1_chunk_budget, p1_label_variants, p1_byte_pair_budget, p2_found, p2_pieces, p3_found, p3_nearest, p3_recall, p4_found, p4_files, p5_found, p5_groups, p6_found, p6_report, p7_mix, p7_shares, p8_found, p8_redacted]
     return {f.__name__: f for f in found}
 
 

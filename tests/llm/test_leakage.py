@@ -43,10 +43,27 @@ def test_equals_brute_force(spark, seed):
     assert got == want and want
 
 
-def test_blocks_of_items_give_the_same(spark):
+def test_hot_fingerprints_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(L, "HOT_ROWS", 3)
     docs, items = data(4)
+    docs += [(2000 + i, items[3][2] if len(unicode_words(items[3][2])) >= 12 else items[1][2]) for i in range(40)]
     d, i = spark.createDataFrame(docs, D), spark.createDataFrame(items, I)
-    assert {tuple(r) for r in L.leaked_items(d, i, block_words=200).collect()} == {tuple(r) for r in L.leaked_items(d, i).collect()} == brute(docs, items)
+    assert {tuple(r) for r in L.leaked_items(d, i).collect()} == brute(docs, items)
+
+
+def test_a_million_equal_words_and_many_items(spark):
+    rng = random.Random(6)
+    items = [(i, "s", " ".join(f"v{rng.randrange(400)}" for _ in range(20))) for i in range(10_000)] + [(20_000, "s", "word " * 1_000_000), (20_001, "s", "word " * 12), (20_002, "s", "word " * 11)]
+    docs = [(1, "word " * 1_000_000), (2, "word " * 11 + "x " + items[77][2]), (3, "a " + "word " * 12 + "b"), (4, items[5][2].upper())]
+    got = {tuple(r) for r in L.leaked_items(spark.createDataFrame(docs, D), spark.createDataFrame(items, I)).collect()}
+    assert got == {(1, 20_000), (1, 20_001), (3, 20_000), (3, 20_001), (2, 77), (4, 5)}
+
+
+def test_report(spark):
+    words = [f"w{i}" for i in range(60)]
+    docs = [(1, "x " + " ".join(words) + " y"), (2, " ".join(words[:20])), (3, "nothing")]
+    rows = {r["doc_id"]: r for r in L.leak_report(spark.createDataFrame(docs, D), spark.createDataFrame([(7, "s", " ".join(words))], I)).collect()}
+    assert set(rows) == {1, 2} and rows[1]["whole"] and rows[1]["share"] == 1 and not rows[2]["whole"] and 0 < rows[2]["share"] < 0.6
 
 
 def test_case_and_ligatures_and_empty_tables(spark):
