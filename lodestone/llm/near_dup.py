@@ -12,8 +12,10 @@ documents with MIN_MATCHES common pairs must meet among their first
 COORDINATES - MIN_MATCHES + 1 ones, so only this prefix is posted and the most
 frequent pairs are mostly skipped. Where a posting list is still long, its
 documents are posted again under the pair and each further pair of theirs that
-can be the second (third, ...) common one, so no list is ever expanded while it
-is long, and none is cut.
+can be the second (third, ...) common one; but a long list of documents that are
+alike for the most part would only be copied by this, so it is compared by tiles
+of two blocks, each pair in the list of its first common pairs only. No list is
+ever expanded in one task while it is long, and none is cut.
 """
 
 from __future__ import annotations
@@ -39,6 +41,11 @@ FREQUENT_LIMIT = 200_000
 #: Ids up to this number are broadcast (8 bytes each); beyond it the join is shuffled.
 BROADCAST_IDS = 1_000_000
 
+#: A long list is compared by tiles of two blocks of so many documents where two of them share so many pairs on average.
+TILE_ROWS, ALIKE = 512, MIN_MATCHES / 2
+#: Documents of a long list that this average is estimated from (it decides the way, not the result).
+ESTIMATE_ROWS = 256
+
 _PREFIX = COORDINATES - MIN_MATCHES + 1
 
 
@@ -94,8 +101,9 @@ def _tokens(matrix: np.ndarray) -> np.ndarray:
 def frequent_pairs(reps: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The frequent coordinate-value pairs, counted over all documents, with their counts.
 
-    Each partition counts on its own and passes on what it sees at least twice;
-    a pair that is frequent overall is frequent in some partition.
+    Each partition counts on its own and passes on what it sees at least twice. A
+    pair spread thinly over very many partitions may pass for rare; this makes its
+    lists longer (they are posted again or tiled) and changes no result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +180,67 @@ def _postings(reps: DataFrame, known: object) -> DataFrame:
     return reps.select("rep", "signature").mapInArrow(run, "list bigint, rep bigint, level int, last int")
 
 
-def _further(long: DataFrame, reps: DataFrame, known: object) -> DataFrame:
+def _alike(long: DataFrame) -> DataFrame:
+    """``(list)``: long lists of which two documents share ALIKE pairs or more on average, and those that cannot be posted further."""
+    sizes = long.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.max("level").alias("level"))
+    some = long.join(sizes.select("list", F.ceil(F.col("n") / ESTIMATE_ROWS).alias("every")), "list").where(F.pmod(F.xxhash64("rep"), F.col("every")) == 0)
+    pairs = some.select("list", F.explode(F.transform(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda c: F.struct(c.alias("c"), F.substring("signature", c * 4 + 1, F.lit(4)).alias("v")))).alias("p"))
+    counted = pairs.groupBy("list", "p").agg(F.count(F.lit(1)).alias("k")).groupBy("list").agg(F.sum(F.col("k") * (F.col("k") - 1)).alias("met"), (F.sum("k") / COORDINATES).alias("m"))
+    average = F.col("met") / F.greatest(F.col("m") * (F.col("m") - 1), F.lit(1.0))
+    return sizes.join(counted, "list", "left").where((F.coalesce(average, F.lit(0.0)) >= ALIKE) | (F.col("level") >= MIN_MATCHES)).select("list")
+
+
+def _tiled(long: DataFrame, known: object) -> DataFrame:
+    """``(a, b)`` of long lists with MIN_MATCHES common pairs or more, of which the first are those of the list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, counts = known.value
+        tile: tuple | None = None
+        parts: list[list[tuple]] = [[], []]
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if not parts[0] or not parts[1]:
+                return
+            x, y = ([np.concatenate(c) for c in zip(*side)] for side in parts)
+            for at in range(0, len(x[0]), 64):
+                same = x[1][at : at + 64, None, :] == y[1][None, :, :]
+                good = (same.sum(axis=2) >= MIN_MATCHES) & ((same & x[2][at : at + 64, None, :]).sum(axis=2) == x[3][at : at + 64, None])
+                good &= x[0][at : at + 64, None] != y[0][None, :] if tile[1] != tile[2] else x[0][at : at + 64, None] < y[0][None, :]
+                i, j = np.nonzero(good)
+                p, q = x[0][at + i], y[0][j]
+                if len(p):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            where = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
+            ids, level, last = (batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 5, 6))
+            own = batch.column(3).to_numpy(zero_copy_only=False)
+            matrix = _matrix(batch.column(7)).copy()
+            tokens, _ = _ordered(matrix, frequent, counts)
+            # coordinates of the pairs up to the last one of the list
+            first = np.zeros(matrix.shape, bool)
+            np.put_along_axis(first, (tokens >> np.uint64(32)).astype(np.int64), np.arange(COORDINATES) <= last[:, None], axis=1)
+            cuts = np.flatnonzero(np.any(where[1:] != where[:-1], axis=1)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(where)]):
+                if tile != tuple(where[a]):
+                    yield from close()
+                    tile, parts = tuple(where[a]), [[], []]
+                for side, block in enumerate(tile[1:]):
+                    m = np.flatnonzero(own[a:b] == block) + a
+                    if len(m):
+                        parts[side].append((ids[m], matrix[m], first[m], level[m]))
+        yield from close()
+
+    sizes = long.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("blocks"))
+    placed = long.join(sizes, "list").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int"))
+    spread = placed.select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "own", "rep", "level", "last", "signature")
+    spread = spread.select("list", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "level", "last", "signature")
+    return spread.repartition("list", "low", "high").sortWithinPartitions("list", "low", "high").mapInArrow(run, "a bigint, b bigint")
+
+
+def _further(long: DataFrame, known: object) -> DataFrame:
     """The documents of long lists posted again under one more of their pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,16 +261,14 @@ def _further(long: DataFrame, reps: DataFrame, known: object) -> DataFrame:
             if out["list"]:
                 yield _arrow(out)
 
-    joined = long.join(reps.select("rep", "signature"), "rep").select("list", "rep", "level", "last", "signature")
-    return joined.mapInArrow(run, "list bigint, rep bigint, level int, last int")
+    return long.select("list", "rep", "level", "last", "signature").mapInArrow(run, "list bigint, rep bigint, level int, last int")
 
 
 def _expanded(postings: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of short lists and, with ``b`` null, the postings of long ones.
 
     Lists arrive sorted; a task holds at most LIST_LIMIT documents of one list,
-    the rest of a longer one streams through. A list whose documents share
-    MIN_MATCHES pairs is expanded whatever its length, block by block.
+    the rest of a longer one streams through.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +280,7 @@ def _expanded(postings: DataFrame) -> DataFrame:
                 return
             begin = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]]))
             size = np.diff(np.append(begin, len(lists)))
-            whole = (size > 1) & ((size <= LIST_LIMIT) | (level[begin] >= MIN_MATCHES))
+            whole = (size > 1) & (size <= LIST_LIMIT)
             for step in range(1, int(size[whole].max(initial=1))):
                 b, s = begin[whole & (size > step)], size[whole & (size > step)]
                 n = s - step
@@ -222,7 +288,7 @@ def _expanded(postings: DataFrame) -> DataFrame:
                 x, y = ids[first], ids[first + step]
                 m = x != y
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[m]), pa.array(np.maximum(x, y)[m]), pa.nulls(int(m.sum()), pa.int64()), pa.nulls(int(m.sum()), pa.int32()), pa.nulls(int(m.sum()), pa.int32())], names=names)
-            over = np.repeat((size > LIST_LIMIT) & (level[begin] < MIN_MATCHES), size)
+            over = np.repeat(size > LIST_LIMIT, size)
             if over.any():
                 yield pa.RecordBatch.from_arrays([pa.array(ids[over]), pa.nulls(int(over.sum()), pa.int64()), pa.array(lists[over]), pa.array(level[over]), pa.array(last[over])], names=names)
 
@@ -246,7 +312,7 @@ def _expanded(postings: DataFrame) -> DataFrame:
             tail = int(np.searchsorted(now[0], now[0][-1]))
             yield from rows(*(x[:tail] for x in now), False)
             held = [x[tail:] for x in now]
-            if len(held[0]) > LIST_LIMIT and held[2][0] < MIN_MATCHES:
+            if len(held[0]) > LIST_LIMIT:
                 n = len(held[0])
                 yield pa.RecordBatch.from_arrays([pa.array(held[1]), pa.nulls(n, pa.int64()), pa.array(held[0]), pa.array(held[2]), pa.array(held[3])], names=names)
                 long_list, held = int(held[0][0]), None
@@ -257,9 +323,26 @@ def _expanded(postings: DataFrame) -> DataFrame:
     return spread.mapInArrow(run, "a bigint, b bigint, list bigint, level int, last int")
 
 
+def tiled_pairs(rows: DataFrame, group: list[str], member: str, block: int | None = None) -> DataFrame:
+    """``(*group, x, y)``: all pairs ``x < y`` of different members of a group, for groups of any size.
+
+    A null group or member makes no pair. A group falls into blocks of about ``block`` members by a hash; a tile is a pair
+    of blocks, so one task never meets more than two of them, and the tiles of a large
+    group are spread like those of any other.
+    """
+    once = rows.select(*group, F.col(member).alias("m")).distinct()
+    sizes = once.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / (block or LIST_LIMIT)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    placed = once.join(sizes, group).withColumn("own", F.pmod(F.xxhash64("m", F.lit(3)), F.col("blocks")).cast("int"))
+    left = placed.select(*group, F.col("own").alias("low"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("high"), F.col("m").alias("p"))
+    right = placed.select(*group, F.explode(F.sequence(F.lit(0), F.col("own"))).alias("low"), F.col("own").alias("high"), F.col("m").alias("q"))
+    pairs = left.join(right, [*group, "low", "high"]).where("low < high or p < q")
+    return pairs.select(*group, F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"))
+
+
 def _only(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose ``key`` is among the distinct ``ids``; these are broadcast if few."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    """Rows of ``df`` whose ``key`` is among the distinct ``ids``, which are written once and broadcast if they are few."""
+    ids = written(ids, "ids")
+    few = ids.count() <= BROADCAST_IDS
     return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
 
 
@@ -288,9 +371,16 @@ def similar_pairs(chunks: DataFrame, threshold: float = 0.8, key: str = "chunk_i
         long = part.where("b is null").select("list", F.col("a").alias("rep"), "level", "last")
         if not long.take(1):
             break
-        postings = _further(long, reps, known)
-    collisions = written(found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("collisions")), "collisions")
+        long = written(long.join(reps.select("rep", "signature"), "rep"), "long")
+        alike = written(_alike(long), "alike")
+        found = found.unionByName(_tiled(long.join(alike, "list", "left_semi"), known))
+        long = long.join(alike, "list", "left_anti")
+        if not long.take(1):
+            break
+        postings = _further(long, known)
+    collisions = written(found.distinct(), "collisions")
 
+    # how often a pair collides over all coordinates is counted from the signatures: lists of several pairs count some collisions only
     def matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -327,8 +417,7 @@ def expand_links(links: DataFrame, members: DataFrame) -> DataFrame:
     copies = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rep")
     several = members.join(copies, "rep", "left_semi").select("chunk_id", "rep")
     several = written(several, "copies")
-    x, y = several.select(F.col("chunk_id").alias("chunk_id_a"), "rep"), several.select(F.col("chunk_id").alias("chunk_id_b"), "rep")
-    equal = x.join(y, "rep").where("chunk_id_a < chunk_id_b").select("chunk_id_a", "chunk_id_b")
+    equal = tiled_pairs(several, ["rep"], "chunk_id").select(F.col("x").alias("chunk_id_a"), F.col("y").alias("chunk_id_b"))
     left = links.join(several.select(F.col("rep").alias("a"), F.col("chunk_id").alias("xa")), "a", "left")
     both = left.join(several.select(F.col("rep").alias("b"), F.col("chunk_id").alias("xb")), "b", "left")
     p, q = F.coalesce("xa", "a"), F.coalesce("xb", "b")

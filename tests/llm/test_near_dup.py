@@ -68,6 +68,21 @@ def test_a_hot_group(spark):
     assert pairs(spark, rows) == brute(rows, 0.6)
 
 
+def test_many_texts_that_are_all_alike(spark, monkeypatch):
+    """One family of slightly different texts and one of copies, both longer than a list may be."""
+    monkeypatch.setattr(N, "LIST_LIMIT", 8)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(words[:i] + ["odd"] + words[i:])) for i in range(60)] + [(500 + i, "the same text again and again") for i in range(40)]
+    assert pairs(spark, rows) == brute(rows, 0.6)
+
+
+@pytest.mark.parametrize("block", [1, 3, 100])
+def test_tiles_make_each_pair_once(spark, block):
+    rows = [("g", i) for i in range(17)] + [("h", 1), ("h", 1), (None, 4), (None, 5), ("k", None), ("k", 2), ("l", 8), ("l", 9)]
+    got = [tuple(r) for r in N.tiled_pairs(spark.createDataFrame(rows, "g string, i bigint"), ["g"], "i", block).collect()]
+    assert len(got) == len(set(got)) and set(got) == {("g", a, b) for a in range(17) for b in range(a + 1, 17)} | {("l", 8, 9)}
+
+
 def test_copies_and_dirty_rows(spark):
     text = "One two THREE four five six"
     rows = [(1, text), (1, text), (2, text.lower()), (3, "one-two three four five six"), (4, None), (5, ""), (6, "only four words here"), (7, "a b c d e"), (None, text)]
