@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import dense, fusion, incremental, locate, navigate, ranking, snippet, sparse
 from lodestone.operators.chunking import chunk_files
-from lodestone.sources import bundle, scan
-from lodestone.sources.embedders import Embedder, HashEmbedder, embed_chunks
+from lodestone.sources import bundle, scan, settings
+from lodestone.sources.embedders import Embedder, chosen_embedder, embed_chunks
 
 CHUNK_COLUMNS = ("chunk_id", "file_path", "start_line", "end_line", "language", "content")
 TOOL_DEFAULT, TOOL_MOST = 3, 10
@@ -25,6 +26,7 @@ class Index:
     """Tables of one source. All queries are lazy plans over them."""
 
     def __init__(self, chunks: DataFrame, postings: DataFrame, lengths: DataFrame, vectors: DataFrame, files: DataFrame, embedder: Embedder, content: Sequence[str] = scan.DEFAULT_CONTENT, root: str | None = None, from_disk: bool = False):
+        """``vectors`` are ``(chunk_id, codes, scale)`` or, stored as floats, ``(chunk_id, embedding)``."""
         self.chunks, self.postings, self.lengths, self.vectors, self.files = chunks, postings, lengths, vectors, files
         self.embedder, self.content, self.root, self.from_disk = embedder, tuple(content), root, from_disk
         self.stored = from_disk  # whether the postings exist or would have to be made
@@ -32,35 +34,35 @@ class Index:
 
     # --- building -----------------------------------------------------------------------------------------
     @classmethod
-    def from_chunks(cls, chunks: DataFrame, embedder: Embedder | None = None, vectors: DataFrame | None = None, files: DataFrame | None = None, **more) -> Index:
+    def from_chunks(cls, chunks: DataFrame, embedder: Embedder | None = None, vectors: DataFrame | None = None, files: DataFrame | None = None, storage: str | None = None, **more) -> Index:
         """From chunks; rows under one id must be identical and count once; vectors ``(chunk_id, codes, scale)`` are computed if not given."""
-        embedder = embedder or HashEmbedder()
+        embedder = embedder or chosen_embedder()
         chunks = chunks.select(*CHUNK_COLUMNS)
         tokens = sparse.chunk_tokens(chunks)
         if vectors is None:
             embedded = embed_chunks(chunks, embedder).dropDuplicates(["chunk_id"])
-            vectors = embedded.select("chunk_id", dense.quantize(F.col("embedding")).alias("q")).select("chunk_id", "q.codes", "q.scale")
+            vectors = embedded if (storage or settings.vector_storage()) == "float32" else embedded.select("chunk_id", dense.quantize(F.col("embedding")).alias("q")).select("chunk_id", "q.codes", "q.scale")
         if files is None:
             files = chunks.groupBy("file_path").agg(F.lit(None).cast("bigint").alias("mtime_ms"), F.lit(None).cast("bigint").alias("size_bytes"))
         return cls(chunks, sparse.postings(tokens), sparse.lengths(tokens), vectors, files.select("file_path", "mtime_ms", "size_bytes"), embedder, **more)
 
     @classmethod
-    def from_path(cls, spark: SparkSession, path: str, content: Sequence[str] = (), embedder: Embedder | None = None) -> Index:
+    def from_path(cls, spark: SparkSession, path: str, content: Sequence[str] = (), embedder: Embedder | None = None, storage: str | None = None) -> Index:
         """From a folder of this machine or of a shared store."""
         kinds = scan.resolve_content(content)
         files = scan.read_folder(spark, path, kinds)
         chunks = incremental.next_ids(chunk_files(files), ["file_path", "pos"], -1)
-        return cls.from_chunks(chunks, embedder, files=files, content=kinds, root=path)
+        return cls.from_chunks(chunks, embedder, files=files, storage=storage, content=kinds, root=path)
 
     @classmethod
     def from_source(cls, spark: SparkSession, source: str, content: Sequence[str] = (), embedder: Embedder | None = None, ref: str | None = None, workspace: str | None = None) -> Index:
         """From a saved bundle that still fits, else from the folder or a clone of the repository."""
         if not source.strip() or not scan.may_read(source) or not scan.in_workspace(source, workspace):
             raise PermissionError(f"source not allowed: {source}")
-        embedder = embedder or HashEmbedder()
+        embedder, storage = embedder or chosen_embedder(), settings.vector_storage()
         kinds = scan.resolve_content(content)
         listing = None if scan.is_remote(source) else scan.read_folder(spark, source, kinds)
-        found = bundle.validated(spark, source, embedder.name, embedder.dimensions, "int8", kinds, listing)
+        found = bundle.validated(spark, source, embedder.name, embedder.dimensions, storage, kinds, listing)
         if found:
             return cls.load(spark, found, embedder)
         return cls.from_path(spark, scan.clone(source, ref) if scan.is_remote(source) else source, content, embedder)
@@ -68,11 +70,15 @@ class Index:
     @classmethod
     def load(cls, spark: SparkSession, path: str, embedder: Embedder | None = None) -> Index:
         tables, metadata = bundle.load(spark, path)
-        return cls(**tables, embedder=embedder or HashEmbedder(), content=metadata["content_type"], root=metadata.get("root_path"), from_disk=True)
+        return cls(**tables, embedder=embedder or chosen_embedder(), content=metadata["content_type"], root=metadata.get("root_path"), from_disk=True)
+
+    @property
+    def storage(self) -> str:
+        return "int8" if "codes" in self.vectors.columns else "float32"
 
     def save(self, path: str) -> None:
         tables = {t: getattr(self, t) for t in bundle.TABLES}
-        bundle.save(path, tables, {"embedding_model": self.embedder.name, "embedding_dimensions": self.embedder.dimensions, "vector_storage": "int8", "content_type": list(self.content), "root_path": self.root})
+        bundle.save(path, tables, {"embedding_model": self.embedder.name, "embedding_dimensions": self.embedder.dimensions, "vector_storage": self.storage, "content_type": list(self.content), "root_path": self.root})
 
     def save_to_cache(self, source: str, force: bool = False) -> None:
         if force or not self.from_disk:
@@ -98,7 +104,7 @@ class Index:
         fresh = chunk_files(scan.accepted(now, self.content)).select("file_path", "start_line", "end_line", "language", "content", "pos")
         chunks = incremental.apply_changes(self.chunks, changed, fresh.drop("pos").withColumn("chunk_id", F.lit(0)))
         new = chunks.join(self.chunks.select("chunk_id"), "chunk_id", "left_anti")
-        part = Index.from_chunks(new, self.embedder)
+        part = Index.from_chunks(new, self.embedder, storage=self.storage)
         kept = {t: incremental.keep_for(getattr(self, t), chunks).unionByName(getattr(part, t)) for t in ("postings", "lengths", "vectors")}
         rest = self.files.join(changed.select("file_path").distinct(), "file_path", "left_anti").unionByName(now.select("file_path", "mtime_ms", "size_bytes"))
         return Index(chunks, **kept, files=rest, embedder=self.embedder, content=self.content, root=self.root)
@@ -120,7 +126,8 @@ class Index:
         rows, chosen = self.vectors, self._selected(languages, paths)
         if chosen is not None:
             rows = rows.join(chosen, "chunk_id", "left_semi")
-        return dense.as_score(dense.nearest_int8(rows, self.embedder.embed_query(query), k))
+        near = dense.nearest_int8 if self.storage == "int8" else dense.nearest
+        return dense.as_score(near(rows, self.embedder.embed_query(query), k))
 
     def search(self, query: str, top_k: int = 10, alpha: float | None = None, languages: Sequence[str] = (), paths: Sequence[str] = (), rerank: bool | None = None) -> DataFrame:
         """The best chunks with their scores; a blank query gives none.
@@ -149,12 +156,21 @@ class Index:
         return locate.locate(self.chunks, literals, **options)
 
     def expand(self, path: str, line: int, before: int = 1, after: int = 1) -> DataFrame:
-        return navigate.expand(self.chunks, path, line, before, after)
+        """The chunk at a line of a file and its neighbours; the path may be absolute or relative to the root or to here."""
+        return navigate.expand(self.chunks, self.indexed_path(path), line, before, after)
+
+    def indexed_path(self, path: str) -> str:
+        """A path as the index names it: below the root, with slashes and without dots; others stay as they are."""
+        if not self.root or "://" in self.root:
+            return path
+        root = os.path.abspath(self.root)
+        place = os.path.normpath(path if os.path.isabs(path) else os.path.join(root, path))
+        return os.path.relpath(place, root).replace(os.sep, "/") if place.startswith(root.rstrip(os.sep) + os.sep) else path
 
     def find_related(self, path: str, line: int, top_k: int = 5) -> DataFrame:
         """Chunks most similar to the one at a line, of the same language, itself left out."""
         top_k = top_k if top_k > 0 else 5
-        anchor = navigate.resolve(self.chunks, path, line).first()
+        anchor = navigate.resolve(self.chunks, self.indexed_path(path), line).first()
         if anchor is None:
             return self.chunks.withColumn("score", F.lit(0.0)).where(F.lit(False))
         languages = [anchor["language"]] if anchor["language"] is not None else []

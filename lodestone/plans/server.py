@@ -13,6 +13,7 @@ from lodestone.operators.ranking import best_per_file
 from lodestone.plans import render
 from lodestone.plans.index import Index, tool_top_k
 from lodestone.sources.bundle import SessionCache
+from lodestone.sources.embedders import Embedder, chosen_embedder
 
 LONGEST_LINE = 10 << 20
 #: Protocol versions that are understood, the newest first.
@@ -50,8 +51,8 @@ def _schema(required: list[str], **properties: str) -> dict:
 class Server:
     """Dispatches initialize, ping, tools/list and tools/call; further tools can be registered."""
 
-    def __init__(self, spark: SparkSession, workspace: str | None = None):
-        self.spark, self.workspace, self.cache = spark, workspace, SessionCache()
+    def __init__(self, spark: SparkSession, workspace: str | None = None, embedder: Embedder | None = None):
+        self.spark, self.workspace, self.cache, self.embedder = spark, workspace, SessionCache(), embedder or chosen_embedder()
         self.tools: dict[str, tuple[str, dict, Callable[[dict], str]]] = {}
         place = {"repo": "string", "file_path": "string", "line": "integer"}
         self.register("search", "Ranked search for a question or symbol.", _schema(["query", "repo"], query="string", repo="string", top_k="integer", dedupe_by_file="boolean"), self._search)
@@ -64,7 +65,7 @@ class Server:
 
     def _index(self, args: dict) -> Index:
         repo = text_of(args, "repo")
-        return self.cache.get(repo, lambda: Index.from_source(self.spark, repo, workspace=self.workspace).cached())
+        return self.cache.get(repo, lambda: Index.from_source(self.spark, repo, embedder=self.embedder, workspace=self.workspace).cached())
 
     def _search(self, args: dict) -> str:
         query, index = text_of(args, "query"), self._index(args)
@@ -80,8 +81,9 @@ class Server:
 
     def _expand(self, args: dict) -> str:
         before, after = int_of(args, "before"), int_of(args, "after")
-        rows = self._index(args).expand(text_of(args, "file_path"), int_of(args, "line") or 0, 1 if before is None else before, 1 if after is None else after)
-        return render.search_text(render.search_payload("", rows))
+        index, path, line = self._index(args), text_of(args, "file_path"), int_of(args, "line") or 0
+        rows = index.expand(path, line, 1 if before is None else before, 1 if after is None else after)
+        return render.expand_text(render.expand_payload(path, line, rows, index.root))
 
     def _related(self, args: dict) -> str:
         rows = self._index(args).find_related(text_of(args, "file_path"), int_of(args, "line") or 0, tool_top_k(int_of(args, "top_k")))
@@ -124,8 +126,8 @@ class Server:
             return json.dumps(head | {"error": {"code": -32601, "message": f"method not found: {request['method']}"}})
 
 
-def serve(spark: SparkSession, source: TextIO, sink: TextIO) -> int:
-    server = Server(spark)
+def serve(spark: SparkSession, source: TextIO, sink: TextIO, embedder: Embedder | None = None) -> int:
+    server = Server(spark, embedder=embedder)
     for line in source:
         if line.strip() and (answer := server.handle(line)) is not None:
             print(answer, file=sink, flush=True)

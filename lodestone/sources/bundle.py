@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import threading
 import time
 from collections import OrderedDict
 from collections.abc import Callable, Sequence
@@ -114,20 +115,32 @@ def clear(spark: SparkSession, source: str) -> None:
 
 
 class SessionCache:
-    """At most ten open indexes, the oldest leaves first; a failed build is not kept."""
+    """At most ten open indexes, the oldest leaves first; a failed build is not kept.
+
+    Requests for one source at a time: those that come while it is built wait for
+    that build; other sources are not held up.
+    """
 
     def __init__(self, entries: int = SESSION_ENTRIES):
         self.entries = entries
         self._open: OrderedDict[str, Index] = OrderedDict()
+        self._lock, self._building = threading.Lock(), {}
 
     def get(self, source: str, build: Callable[[], Index]) -> Index:
         key = source_key(source)
-        if key not in self._open:
+        with self._lock:
+            turn = self._building.setdefault(key, threading.Lock())
+        with turn:
+            with self._lock:
+                if key in self._open:
+                    return self._open[key]
             index = build()
-            while len(self._open) >= self.entries:
-                self._open.popitem(last=False)[1].close()
-            self._open[key] = index
-        return self._open[key]
+            with self._lock:
+                gone = [self._open.popitem(last=False)[1] for _ in range(max(0, len(self._open) - self.entries + 1))]
+                self._open[key] = index
+        for old in gone:
+            old.close()
+        return index
 
 
 def read_vector_files(spark: SparkSession, folder: str) -> DataFrame:

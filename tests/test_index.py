@@ -11,8 +11,8 @@ from lodestone.operators import incremental, sparse
 from lodestone.operators.chunking import chunk_files
 from lodestone.plans import render, server
 from lodestone.plans.index import Index, tool_top_k
-from lodestone.sources import bundle, scan
-from lodestone.sources.embedders import FunctionEmbedder, HashEmbedder, HttpEmbedder, clean_input, embed_chunks, parse_embedding
+from lodestone.sources import bundle, scan, settings
+from lodestone.sources.embedders import EndpointEmbedder, FunctionEmbedder, HashEmbedder, HttpEmbedder, TooLarge, chosen_embedder, clean_input, embed_chunks, parse_embedding
 from lodestone.streaming import refresh
 
 FILES = {
@@ -315,3 +315,100 @@ def test_stream_filters_and_deletes(spark):
     rows = [("a.py", "python", 5, None, "x", False), ("a.py", "python", 5, 3, "y", False), ("b.py", None, 1, 2, "x", False), ("b.py", None, 1, 2, None, True)]
     got = {r["file_path"]: (r["text"], r["deleted"]) for r in refresh.latest_versions(spark.createDataFrame(rows, refresh.FILE_SCHEMA)).collect()}
     assert got == {"a.py": ("y", False), "b.py": (None, True)}
+
+
+def test_single_flight():
+    import threading
+
+    cache, built = bundle.SessionCache(2), []
+
+    class Fake:
+        def close(self):
+            pass
+
+    def build():
+        built.append(1)
+        time.sleep(0.2)
+        return Fake()
+
+    threads = [threading.Thread(target=lambda: cache.get("one", build)) for _ in range(6)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert len(built) == 1
+
+
+def test_settings(monkeypatch):
+    monkeypatch.setenv("LODESTONE_EMBEDDING_BATCH", "0")
+    assert settings.embedding_batch() == settings.DEFAULT_BATCH
+    monkeypatch.setenv("LODESTONE_EMBEDDING_BATCH", "7")
+    monkeypatch.setenv("LODESTONE_EMBEDDING_DIMENSIONS", "x")
+    assert settings.embedding_batch() == 7 and settings.embedding_dimensions() is None
+    assert [settings.usable_key(k) for k in ("k1", "", None, " ", "$KEY", "${KEY}")] == [True] + [False] * 5
+    assert settings.is_newer("v1.10.0", "1.9.9") and not settings.is_newer("1.0", "0.1.0") and not settings.is_newer("1.2.3-rc1", "1.2.3")
+    assert isinstance(chosen_embedder(), HashEmbedder)
+    monkeypatch.setenv("LODESTONE_EMBEDDING_URL", "http://host/v1/")
+    got = chosen_embedder(model="m", dimensions=3)
+    assert (type(got), got.base_url, got.name, got.dimensions, got.batch) == (HttpEmbedder, "http://host/v1", "m", 3, 7)
+
+
+@pytest.mark.parametrize("shape", [lambda e: e, lambda e: {"embeddings": e}, lambda e: {"data": [{"embedding": x} for x in e]}])
+def test_endpoint_answers(shape):
+    bodies = []
+
+    def invoke(body):
+        bodies.append(body)
+        if sum(map(len, body["inputs"])) > 6:
+            raise TooLarge
+        return shape([[float(len(t)), 1.0] for t in body["inputs"]])
+
+    e = EndpointEmbedder(invoke, "e", 2, prompt_name="query")
+    assert e.embed(["ab", "abc"]) == [[2.0, 1.0], [3.0, 1.0]] and e.name == "endpoint:e"
+    assert bodies[0]["prompt_name"] == "query" and bodies[0]["dimensions"] == 2
+    long = e.embed(["abcdef", "x", "abcdefgh"])
+    assert len(long) == 3 and abs(sum(v * v for v in long[2]) - 1) < 1e-9 and e.stats["too_large"] >= 2
+    with pytest.raises(ValueError):
+        EndpointEmbedder(lambda body: {"x": 1}, "e", 2).embed(["a"])
+    with pytest.raises(ValueError):
+        parse_embedding({"dtype": "float64", "values": [1]})
+
+
+def test_paths_storage_and_payloads(spark, folder):
+    calls = FunctionEmbedder(lambda texts: [[1.0, float(len(t) % 3), 0.5] for t in texts], 3)
+    index = Index.from_path(spark, folder, embedder=calls, storage="float32")
+    assert index.storage == "float32" and index.search("login", 3).count() >= 1
+    for path in ("sample.go", "./sample.go", "src/../sample.go", os.path.join(folder, "sample.go")):
+        assert index.indexed_path(path) == "sample.go"
+        assert index.expand(path, 3).where("is_anchor").count() == 1
+    assert index.indexed_path("/elsewhere/sample.go") == "/elsewhere/sample.go"
+    payload = render.expand_payload("sample.go", 3, index.expand("sample.go", 3), index.root)
+    assert payload["line"] == 3 and payload["chunk_count"] == len(payload["chunks"]) and payload["anchor"]["absolute_path"] == os.path.join(folder, "sample.go")
+    assert "sample.go:3" in render.expand_text(payload) and "No chunk" in render.expand_text(render.expand_payload("x", 1, index.expand("x", 1)))
+    again = Index.load(spark, save_and_path(index, folder), calls)
+    assert again.storage == "float32" and again.find_related("./sample.go", 3).count() == index.find_related("sample.go", 3).count()
+    assert render.chunk_row({"file_path": 3, "start_line": "4", "end_line": None, "language": 5}) == {"file_path": "3", "start_line": 4, "end_line": 0, "language": None, "content": ""}
+    assert render.chunk_row(None)["file_path"] == ""
+
+
+def save_and_path(index, folder):
+    path = folder + "-saved"
+    index.save(path)
+    return path
+
+
+def test_command_line_with_a_client(spark, folder, capsys, monkeypatch, tmp_path):
+    from lodestone.plans import cli
+
+    monkeypatch.setenv("LODESTONE_CACHE", str(tmp_path / "cache"))
+    seen = []
+
+    def client(texts):
+        seen.extend(texts)
+        return [[1.0, 0.0, 0.0] for _ in texts]
+
+    assert cli.main(["expand", folder, os.path.join(folder, "sample.go"), "3", "--json"], FunctionEmbedder(client, 3)) == 0
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["anchor"]["file_path"] == "sample.go"
+    assert cli.main(["search", folder, "Login", "--alpha", "0.9", "--language", "go", "--json"], FunctionEmbedder(client, 3)) == 0
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["results"][0]["chunk"]["file_path"] == "sample.go"
+    tool = server.Server(spark, embedder=FunctionEmbedder(client, 3))
+    answer = tool.call("tools/call", {"name": "expand", "arguments": {"repo": folder, "file_path": "./sample.go", "line": 3}})
+    assert not answer["isError"] and "sample.go:3" in answer["content"][0]["text"]
