@@ -123,8 +123,10 @@ def cut(text: str, limit: int = LIMIT_BYTES, overlap: int = OVERLAP_BYTES) -> tu
     """Pieces ``(begin with overlap, begin of new text, end)`` as byte positions.
 
     The piece count starts at the least possible number and equal-length targets
-    are snapped to the strongest nearby boundary; where a limit fails, a piece is
-    added. Only lines that alone exceed the limit are cut inside. Also returns
+    are snapped to the strongest nearby boundary; where a limit fails, pieces are
+    added (an eighth more at a time) up to one for each line. Only where no number
+    of balanced pieces keeps the limits, as with lines of nearly the limit's length
+    behind others, pieces are filled one after the other. Only lines that alone exceed the limit are cut inside. Also returns
     the bytes and whether there is such a line.
     """
     data = text.encode("utf-8", "surrogatepass")
@@ -134,11 +136,10 @@ def cut(text: str, limit: int = LIMIT_BYTES, overlap: int = OVERLAP_BYTES) -> tu
     ends, strengths, inside = _atoms(data, limit)
     soft = max(1, limit - overlap)
     n = 1 + -(-(total - limit) // soft)
-    tries = 0
     cuts = None
-    while cuts is None and n <= len(ends) and tries < 64:
+    while cuts is None and n <= len(ends):
         cuts = _place(ends, strengths, total, n, limit, soft)
-        n, tries = n + 1 + tries // 8, tries + 1
+        n = len(ends) if n < len(ends) < n + n // 8 + 1 else n + n // 8 + 1
     if cuts is None:
         cuts = _packed(ends, limit, soft)
     out, begin = [], 0

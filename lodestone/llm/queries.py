@@ -20,7 +20,7 @@ def _document_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 def _chunk_tokens(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "chunks").select("chunk_id", "repo", "language", "content")
-    return token_budget.distinct_by(token_budget.wordpiece_tokens(rows, "content", table(spark, d, "wordpiece_vocab")), "chunk_id")
+    return token_budget.distinct_rows(token_budget.wordpiece_tokens(rows, "content", table(spark, d, "wordpiece_vocab")))
 
 
 def p1_record_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -146,6 +146,23 @@ def oracle_sql() -> dict[str, str]:
                  lines AS (SELECT chunk_id, unnest(regexp_extract_all(content, '[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+')) AS line FROM big)
             SELECT chunk_id, CASE WHEN max(strlen(line)) > 1500 THEN 'inside' ELSE 'line' END AS cut_kind FROM lines GROUP BY chunk_id
         """,
+        # classes by a closure over links of at least 0.8 between different shingle sets
+        "p5_groups": r"""
+            WITH RECURSIVE once AS (SELECT DISTINCT chunk_id, content FROM chunks WHERE content IS NOT NULL),
+            words AS (SELECT chunk_id, regexp_extract_all(content, '[A-Za-z0-9_]+') AS w FROM once),
+            shingles AS (
+                SELECT chunk_id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: translate(array_to_string(w[i:i + 4], ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')))) AS s
+                FROM words WHERE len(w) >= 5),
+            member AS (SELECT chunk_id, s, min(chunk_id) OVER (PARTITION BY array_to_string(s, '|')) AS rep FROM shingles),
+            sizes AS (SELECT rep, len(s) AS n, unnest(s) AS g FROM member WHERE chunk_id = rep),
+            common AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS k FROM sizes a JOIN sizes b ON a.g = b.g AND a.rep <> b.rep GROUP BY ALL),
+            link AS (SELECT a, b FROM common WHERE k::DOUBLE / (na + nb - k) >= 0.8),
+            reach(a, b) AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+            least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+            degree AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+            SELECT chunk_id, least(rep, coalesce(least.b, rep)) AS class_id, coalesce(degree.n, 0)::BIGINT AS n_links
+            FROM member LEFT JOIN least ON least.a = rep LEFT JOIN degree ON degree.a = rep
+        """,
         "p3_found": """
             WITH usable AS (
                 SELECT chunk_id, any_value(codes)::DOUBLE[] AS v FROM vectors

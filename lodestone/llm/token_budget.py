@@ -132,21 +132,36 @@ class BytePairAutomaton:
                 pair = (ranks[parts[0]], ranks[parts[1]])
                 self.halves[rank] = pair
                 self.joined[pair] = rank
-        # reversed trie: from the byte at which a token ends back to its start
-        self.back: list[dict[int, int]] = [{}]
-        self.token_at: list[int] = [-1]
+        # automaton over bytes: a state is the longest piece of a token that ends here, and says which tokens end here, longest first
+        self.step: list[dict[int, int]] = [{}]
+        token_at = {}
         for token, rank in ranks.items():
             if rank not in self.halves:
                 continue
             node = 0
-            for byte in reversed(token):
-                nxt = self.back[node].get(byte)
+            for byte in token:
+                nxt = self.step[node].get(byte)
                 if nxt is None:
-                    nxt = self.back[node][byte] = len(self.back)
-                    self.back.append({})
-                    self.token_at.append(-1)
+                    nxt = self.step[node][byte] = len(self.step)
+                    self.step.append({})
                 node = nxt
-            self.token_at[node] = rank
+            token_at[node] = rank
+        #: State of the next shorter suffix, longest token that ends in a state (-1: none), next shorter token that ends where a token ends.
+        self.back, self.longest, self.shorter = [0] * len(self.step), [-1] * len(self.step), {}
+        self.size = {rank: len(token) for token, rank in ranks.items()}
+        queue = [0]
+        for node in queue:
+            for byte, child in self.step[node].items():
+                queue.append(child)
+                if node:
+                    up = self.back[node]
+                    while up and byte not in self.step[up]:
+                        up = self.back[up]
+                    self.back[child] = self.step[up].get(byte, 0)
+                below = self.longest[self.back[child]]
+                self.longest[child] = token_at.get(child, below)
+                if child in token_at:
+                    self.shorter[token_at[child]] = below
         self._known: dict[tuple[int, int], bool] = {}
 
     def _merge_below(self, token: bytes, limit: int) -> list[bytes]:
@@ -197,17 +212,19 @@ class BytePairAutomaton:
             return 0
         if word in self.ranks:
             return 1
-        last, n = [-1] * (len(word) + 1), [0] * (len(word) + 1)
-        for end in range(1, len(word) + 1):
-            node, at, found = 0, end, []
-            while at > 0 and (node := self.back[node].get(word[at - 1], -1)) >= 0:
-                at -= 1
-                if self.token_at[node] >= 0 and (at == 0 or last[at] >= 0):
-                    found.append((at, self.token_at[node]))
-            for at, token in reversed(found):
-                if at == 0 or self.compatible(last[at], token):
+        last, n, state = [-1] * (len(word) + 1), [0] * (len(word) + 1), 0
+        step, back = self.step, self.back
+        for end, byte in enumerate(word, 1):
+            while state and byte not in step[state]:
+                state = back[state]
+            state = step[state].get(byte, 0)
+            token = self.longest[state]
+            while token >= 0:
+                at = end - self.size[token]
+                if at == 0 or (last[at] >= 0 and self.compatible(last[at], token)):
                     last[end], n[end] = token, n[at] + 1
                     break
+                token = self.shorter[token]
         return n[-1]
 
 
@@ -281,10 +298,9 @@ def byte_pair_tokens(df: DataFrame, text: str, ranks_path: str, pattern: str = W
     return _counts(df, text, lambda: _once(("bpe", ranks_path, pattern), lambda: BytePairCounter(handle.value, pattern)))
 
 
-def distinct_by(df: DataFrame, key: str) -> DataFrame:
-    """Rows that occur more than once under ``key`` count once (they are identical)."""
-    rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(*[F.first(c).alias(c) for c in rest]).select(*df.columns)
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """Repeated rows, which are identical, count once (compared by hashes, without a sort)."""
+    return df.distinct()
 
 
 def token_cube(counts: DataFrame, slices: list[str]) -> DataFrame:

@@ -72,4 +72,4 @@ def test_counts_and_cube(spark):
 def test_repeated_chunks_count_once(spark):
     df = spark.createDataFrame([(1, "go", "a"), (1, "go", "a"), (2, None, "b")], "chunk_id bigint, language string, content string").withColumn("extra", F.lit(1))
     vocabulary = spark.createDataFrame([(0, "a")], "token_id int, token string")
-    assert T.distinct_by(T.wordpiece_tokens(df, "content", vocabulary), "chunk_id").count() == 2
+    assert T.distinct_rows(T.wordpiece_tokens(df, "content", vocabulary)).count() == 2
