@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 RRF_K = 60
 
 
-def reciprocal_rank(ranked: DataFrame, score: str = "score") -> DataFrame:
-    """``(chunk_id, score)`` with 1 / (60 + rank), rank 1 the best.
+def reciprocal_rank(ranked: DataFrame, k: int, score: str = "score") -> DataFrame:
+    """``(chunk_id, score)`` with 1 / (60 + rank) of the ``k`` best rows, rank 1 the best; equal scores by the smaller id.
 
-    Meant for candidate lists that are already cut to their top rows: the rank
-    needs them in one task.
+    The cut is made by a heap per task, so the ranking sees ``k`` rows.
     """
-    best = Window.orderBy(F.round(score, 9).desc(), "chunk_id")
-    return ranked.select("chunk_id", (1.0 / (RRF_K + F.row_number().over(best))).alias("score"))
+    order = (F.round(score, 9).desc(), F.col("chunk_id"))
+    best = ranked.select("chunk_id", score).orderBy(*order).limit(k)
+    return best.select("chunk_id", (1.0 / (RRF_K + F.row_number().over(Window.orderBy(*order)))).alias("score"))
 
 
 def fused(semantic: DataFrame, keyword: DataFrame, alpha: float) -> DataFrame:

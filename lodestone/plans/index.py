@@ -140,7 +140,7 @@ class Index:
         if not query.strip():
             return empty
         weight, n = ranking.resolve_alpha(query, alpha), ranking.candidate_count(query, top_k)
-        both = fusion.fused(fusion.reciprocal_rank(self.semantic(query, n, languages, paths)), fusion.reciprocal_rank(self.keyword(query, n, languages, paths)), weight)
+        both = fusion.fused(fusion.reciprocal_rank(self.semantic(query, n, languages, paths), n), fusion.reciprocal_rank(self.keyword(query, n, languages, paths), n), weight)
         test = navigate.selection(languages, paths)
         chunks = self.chunks if test is None else self.chunks.where(test)
         if not (("code" in self.content) if rerank is None else rerank):

@@ -327,8 +327,8 @@ def sql_fused(alpha: float) -> str:
 
 
 def _ranks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    keyword = fusion.reciprocal_rank(sparse.top_k(sparse.scan_scores(documents_as_chunks(spark, d), QUESTION, enrich=False), 50))
-    semantic = fusion.reciprocal_rank(dense.as_score(dense.nearest(float_vectors(spark, d), _query_vector(spark, d), 50)))
+    keyword = fusion.reciprocal_rank(sparse.scan_scores(documents_as_chunks(spark, d), QUESTION, enrich=False), 50)
+    semantic = fusion.reciprocal_rank(dense.as_score(dense.nearest(float_vectors(spark, d), _query_vector(spark, d), 50)), 50)
     return semantic, keyword
 
 

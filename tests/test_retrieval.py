@@ -102,7 +102,7 @@ def test_pooling_is_a_unit_mean(spark):
 def test_fusion(spark):
     a = spark.createDataFrame([(1, 0.9), (2, 0.8)], "chunk_id bigint, score double")
     b = spark.createDataFrame([(2, 5.0), (3, 4.0)], "chunk_id bigint, score double")
-    got = {r[0]: r[1] for r in fusion.fused(fusion.reciprocal_rank(a), fusion.reciprocal_rank(b), 0.3).collect()}
+    got = {r[0]: r[1] for r in fusion.fused(fusion.reciprocal_rank(a, 10), fusion.reciprocal_rank(b, 10), 0.3).collect()}
     assert np.allclose([got[1], got[2], got[3]], [0.3 / 61, 0.3 / 62 + 0.7 / 61, 0.7 / 62])
 
 
