@@ -64,7 +64,7 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return neighbours.close_pairs(neighbours.nearest(table(spark, d, "vectors")))
+    return neighbours.close_pairs(neighbours.nearest(table(spark, d, "vectors"), within=0.25))
 
 
 def p3_nearest(spark: SparkSession, d: str) -> DataFrame:
